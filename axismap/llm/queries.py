@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axismap.llm import decontaminate, ogg, shard, warc
+from axismap.llm import decontaminate, ogg, shard, simhash, warc
 from axismap.llm.tables import read
 
 
@@ -21,6 +21,11 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(headers, store, with_records=False).withColumnRenamed("key", "page_id").drop("record")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component of fingerprints within 4 bits."""
+    return simhash.components(read(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside windows of the benchmark."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_ogg": op1_media_ogg,
         "op2_warc_archive": op2_warc_archive,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op9_sharding": op9_sharding,
     }
