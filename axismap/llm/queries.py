@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axismap.llm import decontaminate, ogg, shard, simhash, warc
+from axismap.llm import decontaminate, langid, ogg, packing, quality, shard, simhash, warc
 from axismap.llm.tables import read
 
 
@@ -21,6 +21,11 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(headers, store, with_records=False).withColumnRenamed("key", "page_id").drop("record")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of at most 1,024 tokens."""
+    return packing.best_fit_packing(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component of fingerprints within 4 bits."""
     return simhash.components(read(spark, sf_dir, "documents"))
@@ -31,18 +36,31 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; a quarter of the documents is held out."""
+    return langid.predict(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards of near-equal bytes."""
     return shard.shard(read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; a fifth of the documents is held out."""
+    return quality.predict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_ogg": op1_media_ogg,
         "op2_warc_archive": op2_warc_archive,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
