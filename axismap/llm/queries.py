@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axismap.llm import decontaminate, langid, ogg, packing, quality, shard, simhash, warc
+from axismap.llm import decontaminate, langid, ogg, packing, quality, shard, simhash, suffix, warc
 from axismap.llm.tables import read
 
 
@@ -36,6 +36,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that start earlier."""
+    return suffix.report(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; a quarter of the documents is held out."""
     return langid.predict(read(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_quality_classifier": op10_quality_classifier,
