@@ -8,11 +8,13 @@ likeliest roles; turns are then rendered canonically, one marker line each.
 
 Emissions and transitions are counted over all labelled turns of all conversations
 (one aggregated table of a few hundred rows comes to the driver), with add-one
-smoothing. Decoding is grouped by conversation, but never gathers a long one: a
-conversation is cut into segments of ``SEGMENT`` turns, each task sums a segment up in
-a max-plus matrix (roles x roles), only the matrices of a conversation are chained
-(several levels deep, each ``SEGMENT`` times shorter), and segments are then decoded
-from the roles at their ends. That is exact Viterbi.
+smoothing. Turns are range-partitioned by conversation and turn and written in blocks
+of at most ``SEGMENT`` turns, so that a conversation of any length is spread over tasks.
+One that lies within a block is decoded there. Of one that crosses blocks, each block
+is summed up in a max-plus matrix (roles x roles, 72 bytes for up to ``SEGMENT`` turns);
+only those are gathered by conversation, and fix the roles at the ends of each block,
+between which it is then decoded. That is exact Viterbi. The driver holds one row per
+shuffle partition: the conversations at its ends.
 
 Defined results: a null or blank text is an empty turn (features of an empty line); a
 null role is unlabelled; a null turn number stands first; equal turn numbers are
@@ -23,15 +25,21 @@ that sorts first; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import re
-from itertools import pairwise
+import zlib
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axismap.llm.tables import stash
+
 ROLES = ("assistant", "system", "user")
-SEGMENT = 512
+SEGMENT = 4096
+SEGMENT_BYTES = 4 << 20
 #: What speakers are called in transcripts.
 MARKERS = {
     "assistant": ("assistant", "ai", "bot", "model", "gpt", "a"),
@@ -134,8 +142,220 @@ def summed(hmm: Hmm, seen: list[str], first: bool) -> np.ndarray:
     return total
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, place (from 0) and n (turns of the conversation)."""
-    by = Window.partitionBy("conv_id")
-    slim = conversations.select("conv_id", "turn", "role", "text")
-    return slim.withColumn("place", F.row_number().over(by.orderBy(F.col("turn").asc_nulls_first(), "text", "role")) - 1)
+def fit_counts(counts: dict[tuple[str, str], int]) -> Hmm:
+    """Log probabilities with add-one smoothing from (feature, role) counts."""
+    n = len(ROLES)
+    of = lambda f: np.array([counts.get((f, r), 0) for r in ROLES], np.float64)
+    start = np.log((of("start") + 1) / (of("start").sum() + n))
+    follow = np.stack([np.log((of(f"after={r}") + 1) / (of(f"after={r}").sum() + n)) for r in ROLES])
+    emit = {}
+    for name in ("marker", "place", "length", "lines", "shape"):
+        values = sorted({f for f, _ in counts if f.startswith(f"{name}=")})
+        total = sum((of(v) for v in values), np.zeros(n)) + len(values)
+        emit |= {v: np.log((of(v) + 1) / total) for v in values}
+    return Hmm(start, follow, emit)
+
+
+def _blocks(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Blocks of turns in order: what stands before, whether the last conversation goes on, body."""
+    slim = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    tag = F.when(F.col("conv").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv").cast("string")))
+    order = ["tag", F.col("turn").asc_nulls_first(), "text", "role"]
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = slim.withColumn("tag", tag).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        before: tuple[str | None, str | None] = (None, None)
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+
+        def row(body: pa.Table, goes_on: bool | None) -> pa.RecordBatch:
+            nonlocal made, before
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, body.schema) as out:
+                out.write_table(body)
+            tags, roles = body.column("tag"), body.column("role")
+            cells = [part << 32 | made, part, before[0], before[1], goes_on, tags[0].as_py(), tags[-1].as_py(), roles[-1].as_py(), sink.getvalue().to_pybytes()]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.binary()]
+            made, before = made + 1, (cells[6], cells[7])
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["block", "part", "prev_tag", "prev_role", "goes_on", "first_tag", "last_tag", "last_role", "body"])
+
+        waiting: pa.Table | None = None
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part_of = b.slice(k, 256)
+                held.append(part_of)
+                rows, size = rows + part_of.num_rows, size + part_of.nbytes
+                if rows >= SEGMENT or size >= SEGMENT_BYTES:
+                    now = pa.Table.from_batches(held)
+                    if waiting is not None:
+                        yield row(waiting, waiting.column("tag")[-1].as_py() == now.column("tag")[0].as_py())
+                    waiting, held, rows, size = now, [], 0, 0
+        if held:
+            now = pa.Table.from_batches(held)
+            if waiting is not None:
+                yield row(waiting, waiting.column("tag")[-1].as_py() == now.column("tag")[0].as_py())
+            waiting = now
+        if waiting is not None:
+            yield row(waiting, None)
+
+    return ranged.mapInArrow(run, "block bigint, part int, prev_tag string, prev_role string, goes_on boolean, first_tag string, last_tag string, last_role string, body binary")
+
+
+def _tell_ends(blocks: DataFrame) -> dict[int, tuple[str | None, str | None, str | None]]:
+    """By partition: tag and role before it, tag after it (a row per shuffle partition)."""
+    ends = blocks.groupBy("part").agg(
+        F.min_by("first_tag", "block").alias("first"), F.max_by("last_tag", "block").alias("last"), F.max_by(F.coalesce("last_role", F.lit("")), "block").alias("role")
+    ).orderBy("part").collect()
+    return {
+        r["part"]: (ends[k - 1]["last"] if k else None, (ends[k - 1]["role"] or None) if k else None, ends[k + 1]["first"] if k + 1 < len(ends) else None)
+        for k, r in enumerate(ends)
+    }
+
+
+def _runs(r: dict, ends: dict) -> list[tuple[str, int, int, bool, bool, str | None]]:
+    """(tag, from, to, goes on from before, goes on after, role before) of a block's conversations."""
+    tags = pa.ipc.open_stream(r["body"]).read_all().column("tag").to_pylist()
+    prev, after = (r["prev_tag"], r["prev_role"]), r["goes_on"]
+    if prev[0] is None:
+        prev = ends[r["part"]][:2]
+    if after is None:
+        after = ends[r["part"]][2] == tags[-1]
+    out, at = [], 0
+    for tag, group in groupby(tags):
+        n = sum(1 for _ in group)
+        joined = at == 0 and prev[0] == tag
+        out.append((tag, at, at + n, joined, after and at + n == len(tags), prev[1] if joined else None))
+        at += n
+    return out
+
+
+def _rows(batches, columns: tuple[str, ...]):
+    for b in batches:
+        for cells in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            yield dict(zip(columns, cells, strict=True))
+
+
+_HEAD = ("block", "part", "prev_tag", "prev_role", "goes_on", "body")
+
+
+def fit(blocks: DataFrame, ends: dict) -> Hmm:
+    """The model of all labelled turns in ``blocks`` whose conversation is not held out."""
+
+    def run(batches):
+        seen: Counter[tuple[str, str]] = Counter()
+        for r in _rows(batches, (*_HEAD,)):
+            body = pa.ipc.open_stream(r["body"]).read_all()
+            roles, texts, out = (body.column(c).to_pylist() for c in ("role", "text", "out"))
+            for _, a, b, joined, _, before in _runs(r, ends):
+                for k in range(a, b):
+                    if out[k] or roles[k] not in ROLES:
+                        continue
+                    first = k == a and not joined
+                    names = ("marker", "place", "length", "lines", "shape")
+                    for name, value in zip(names, observe(texts[k], first).split("|"), strict=True):
+                        seen[f"{name}={value}", roles[k]] += 1
+                    last = before if k == a else roles[k - 1]
+                    seen["start" if first else f"after={last}", roles[k]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "role", "n"])
+
+    counted = blocks.select(*_HEAD).mapInArrow(run, "feature string, role string, n bigint").groupBy("feature", "role").agg(F.sum("n").alias("n"))
+    return fit_counts({(r["feature"], r["role"]): r["n"] for r in counted.collect()})
+
+
+def _chained(blocks: DataFrame, ends: dict, hmm: Hmm) -> DataFrame:
+    """(block, tag, before, last): roles at the ends of each block's share of a crossing conversation."""
+
+    def run(batches):
+        for r in _rows(batches, _HEAD):
+            texts = pa.ipc.open_stream(r["body"]).read_all().column("text").to_pylist()
+            found = [(r["block"], t, summed(hmm, [observe(x, k == 0 and not j) for k, x in enumerate(texts[a:b])], not j).tobytes()) for t, a, b, j, on, _ in _runs(r, ends) if j or on]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate([pa.int64(), pa.string(), pa.binary()])], ["block", "tag", "total"])
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        totals = [np.frombuffer(x, np.float64).reshape(len(ROLES), len(ROLES)) for x in table.column("total").to_pylist()]
+        best, back = np.zeros(len(ROLES)), []
+        for k, m in enumerate(totals):
+            step = best[:, None] + m
+            back.append(step.argmax(0))
+            best = m[0] if k == 0 else step.max(0)
+        at, last, before = int(best.argmax()), [], []
+        for k in reversed(range(len(totals))):
+            last.append(at)
+            at = int(back[k][at])
+            before.append(at if k else None)
+        return pa.table({"block": table.column("block"), "tag": table.column("tag"), "before": pa.array(before[::-1], pa.int32()), "last": pa.array(last[::-1], pa.int32())})
+
+    return blocks.select(*_HEAD).mapInArrow(run, "block bigint, tag string, total binary").groupBy("tag").applyInArrow(solve, "block bigint, tag string, before int, last int")
+
+
+def recover(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """A row per turn: conv, turn, held_out, role_pred, rendered.
+
+    Roles are counted only in conversations whose id's CRC-32 does not leave
+    ``remainder``; no role is read when a turn is decoded.
+    """
+    marked = conversations.withColumn(role, F.col(role).cast("string"))
+    kind = {c: conversations.schema[c].dataType.simpleString() for c in (conv, turn)}
+    blocks = stash(_with_held_out(_blocks(marked, conv, turn, role, text), modulus, remainder), "chat-blocks")
+    ends = _tell_ends(blocks)
+    hmm = fit(blocks, ends)
+    fixed = stash(_chained(blocks, ends, hmm), "chat-chained")
+    told = fixed.groupBy("block").agg(F.collect_list(F.struct("tag", "before", "last")).alias("told"))
+
+    def run(batches):
+        for r in _rows(batches, (*_HEAD, "told")):
+            body = pa.ipc.open_stream(r["body"]).read_all().combine_chunks()
+            texts = body.column("text").to_pylist()
+            given = {t["tag"]: (t["before"], t["last"]) for t in r["told"] or []}
+            path: list[int] = []
+            for tag, a, b, joined, on, _ in _runs(r, ends):
+                before, last = given.get(tag, (None, None)) if joined or on else (None, None)
+                after = None if last is None else np.where(np.arange(len(ROLES)) == last, 0.0, -np.inf)
+                path += viterbi(hmm, [observe(x, k == 0 and not joined) for k, x in enumerate(texts[a:b])], before if joined else None, after)
+            names = [ROLES[p] for p in path]
+            shown = [render(n, t) for n, t in zip(names, texts, strict=True)]
+            cols = [body.column(c).combine_chunks() if isinstance(body.column(c), pa.ChunkedArray) else body.column(c) for c in ("conv", "turn", "out")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(shown, pa.string())], [conv, turn, "held_out", "role_pred", "rendered"])
+
+    return blocks.select(*_HEAD).join(told, "block", "left").mapInArrow(run, f"`{conv}` {kind[conv]}, `{turn}` {kind[turn]}, held_out boolean, role_pred string, rendered string")
+
+
+def _with_held_out(blocks: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    """Mark each turn in the bodies as held out or not (``out``)."""
+    kinds = blocks.schema
+
+    def run(batches):
+        for b in batches:
+            bodies = []
+            for body in b.column("body").to_pylist():
+                t = pa.ipc.open_stream(body).read_all()
+                ids = ["" if x == "n" else x[1:] for x in t.column("tag").to_pylist()]
+                t = t.append_column("out", pa.array([zlib.crc32(i.encode()) % modulus == remainder for i in ids], pa.bool_()))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema) as out:
+                    out.write_table(t)
+                bodies.append(sink.getvalue().to_pybytes())
+            yield b.set_column(b.schema.get_field_index("body"), "body", pa.array(bodies, pa.binary()))
+
+    return blocks.mapInArrow(run, kinds)
+
+
+def parse_transcripts(docs: DataFrame, hmm: Hmm, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Turns of whole transcripts, one text each: key, turn, role_pred, rendered. No shuffle."""
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for k, x in enumerate(b.column(1).to_pylist()):
+                turns = split_transcript(x)
+                path = viterbi(hmm, [observe(t, i == 0) for i, t in enumerate(turns)], None)
+                at += [k] * len(turns)
+                out += [(i, ROLES[p], render(ROLES[p], t)) for i, (p, t) in enumerate(zip(path, turns, strict=True))]
+            cols = [pa.array([o[k] for o in out], kind) for k, kind in enumerate([pa.int32(), pa.string(), pa.string()])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], ["key", "turn", "role_pred", "rendered"])
+
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, turn int, role_pred string, rendered string").withColumnRenamed("key", key)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axismap.llm import decontaminate, langid, ogg, packing, quality, shard, simhash, suffix, warc
+from axismap.llm import chat, decontaminate, langid, ogg, packing, quality, shard, simhash, suffix, warc
 from axismap.llm.tables import read
 
 
@@ -31,6 +31,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation with its recovered role, rendered."""
+    return chat.recover(read(spark, sf_dir, "conversations"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside windows of the benchmark."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_archive": op2_warc_archive,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_chat_formatting": op5_chat_formatting,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_language_id": op8_language_id,
