@@ -18,7 +18,8 @@ GAP = 40
 
 
 def _canon(s: SparkSession, d: str, kind: str) -> DataFrame:
-    return canonical.canonical_runs(fx.runs(s, d, kind))
+    """Canonical runs, kept as a built map's are: what follows reads them more than once."""
+    return canonical.canonical_runs(fx.runs(s, d, kind)).persist()
 
 
 def _map(s: SparkSession, d: str, kind: str) -> AlignMap:
@@ -41,7 +42,7 @@ def _bed(s: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def _numbered(rec: DataFrame) -> DataFrame:
-    return rec.select(F.col("text").alias("line"), F.col("id").cast("bigint").alias("seq"), F.lit("f").alias("file"))
+    return rec.select(F.col("text").alias("line"), F.col("id").cast("bigint").alias("seq"), F.lit("f").alias("file")).persist()
 
 
 def _by_name(runs: DataFrame, found: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def _by_name(runs: DataFrame, found: DataFrame) -> DataFrame:
 def _chain_lines(rec: DataFrame) -> DataFrame:
     """The lines of chain texts, numbered in order."""
     lines = rec.select("id", F.posexplode(F.split(F.regexp_replace("text", r"\n\n$", "\n"), "\n")).alias("k", "line"))
-    return lines.select("line", (F.col("id") * (1 << 32) + F.col("k")).cast("bigint").alias("seq"), F.lit("f").alias("file"))
+    return lines.select("line", (F.col("id") * (1 << 32) + F.col("k")).cast("bigint").alias("seq"), F.lit("f").alias("file")).persist()
 
 
 def _spans(s: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,8 @@ with the line, in one check before runs are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,17 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
 
 
-def _refuse(df: DataFrame, fault: Column, what: str) -> None:
-    bad = df.filter(fault).limit(1).collect()
+def _faults(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
+    """line and fault of the rows that break one of ``rules`` (the first that holds)."""
+    found = F.coalesce(*[F.when(fault, F.lit(what)) for fault, what in rules])
+    return df.select("line", found.alias("fault")).filter("fault is not null")
+
+
+def _refuse(*faults: DataFrame) -> None:
+    """Raise for any faulty line, found in one job."""
+    bad = reduce(DataFrame.union, faults).limit(1).collect()
     if bad:
-        raise MapError(f"{what}: {bad[0]['line'][:200]!r}")
+        raise MapError(f"{bad[0]['fault']}: {bad[0]['line'][:200]!r}")
 
 
 def _assemble(blocks: DataFrame, seen: DataFrame, swap: bool) -> tuple[DataFrame, DataFrame]:
@@ -43,11 +52,12 @@ def _assemble(blocks: DataFrame, seen: DataFrame, swap: bool) -> tuple[DataFrame
     if swap:
         blocks = blocks.select(*[F.col({"a_name": "b_name", "b_name": "a_name", "a": "b", "b": "a"}.get(c, c)).alias(c) for c in ("a_name", "a", "b_name", "b", "len", "strand")])
         seen = seen.withColumn("axis", F.when(F.col("axis") == "a", flip["a"]).otherwise(flip["b"]))
-    members = from_sightings(seen)
+    members = from_sightings(seen).persist()
     for axis in ("a", "b"):
         ids = members.filter(F.col("axis") == axis).select(F.col("name").alias(f"{axis}_name"), F.col("member_id").alias(f"{axis}_member"))
         blocks = blocks.join(ids, f"{axis}_name")
-    return blocks.filter("len > 0").select(*RUN_COLUMNS), members
+    # kept: checks, ids and the canonical form each read what was parsed
+    return blocks.filter("len > 0").select(*RUN_COLUMNS).persist(), members
 
 
 def paf(text: DataFrame, swap: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -62,18 +72,20 @@ def paf(text: DataFrame, swap: bool = False) -> tuple[DataFrame, DataFrame]:
     p = rows.select("line", "seq", F.size(f).alias("n"), *[F.get(f, F.lit(i)).alias(c) for i, c in enumerate(names)], F.get(F.filter(F.slice(f, 13, 1 << 20), lambda x: x.startswith("cg:Z:")), F.lit(0)).alias("tag"))
     for c in ("qlen", "qs", "qe", "tlen", "ts", "te"):
         p = p.withColumn(c, _number(F.col(c)))
-    p = p.withColumn("cigar", F.substring("tag", 6, MAX_RECORD_PIECE)).persist()
-    _refuse(p, F.col("n") < 12, "a PAF line needs 12 columns")
-    fine = (F.col("qs") >= 0) & (F.col("qs") <= F.col("qe")) & (F.col("qe") <= F.col("qlen")) & (F.col("ts") >= 0) & (F.col("ts") <= F.col("te")) & (F.col("te") <= F.col("tlen"))
-    _refuse(p, ~F.coalesce(fine, F.lit(False)) | ~F.col("strand").isin("+", "-"), "bad coordinates or strand in a PAF line")
-    _refuse(p, F.col("tag").isNull(), "a PAF line without a cg:Z: CIGAR")
-    _refuse(p, ~F.col("cigar").rlike(r"^(?:\d+[MX=IDN]|0+.)*$"), "a CIGAR operation that is not M, =, X, I, D or N")
-    ops = F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+\D)"), 1), lambda x: F.struct(F.regexp_extract(x, r"^\d+", 0).cast("bigint").alias("n"), F.right(x, F.lit(1)).alias("op")))
-    p = p.withColumn("ops", F.filter(ops, lambda o: o["n"] > 0))
+    p = p.withColumn("cigar", F.substring("tag", 6, MAX_RECORD_PIECE))
+    ops = F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+\D)"), 1), lambda x: F.struct(F.regexp_extract(x, r"^\d+", 0).try_cast("bigint").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    p = p.withColumn("ops", F.filter(ops, lambda o: o["n"] > 0)).persist()
     on_q = lambda o: F.when(o["op"].isin("M", "=", "X", "I"), o["n"]).otherwise(0)
     on_t = lambda o: F.when(o["op"].isin("M", "=", "X", "D", "N"), o["n"]).otherwise(0)
+    fine = (F.col("qs") >= 0) & (F.col("qs") <= F.col("qe")) & (F.col("qe") <= F.col("qlen")) & (F.col("ts") >= 0) & (F.col("ts") <= F.col("te")) & (F.col("te") <= F.col("tlen"))
     total = lambda side: F.aggregate("ops", F.lit(0).cast("bigint"), lambda s, o: s + side(o))
-    _refuse(p, (total(on_q) != F.col("qe") - F.col("qs")) | (total(on_t) != F.col("te") - F.col("ts")), "a CIGAR that does not span its intervals")
+    _refuse(_faults(p, [
+        (F.col("n") < 12, "a PAF line needs 12 columns"),
+        (~F.coalesce(fine, F.lit(False)) | ~F.col("strand").isin("+", "-"), "bad coordinates or strand in a PAF line"),
+        (F.col("tag").isNull(), "a PAF line without a cg:Z: CIGAR"),
+        (~F.col("cigar").rlike(r"^(?:\d+[MX=IDN]|0+.)*$"), "a CIGAR operation that is not M, =, X, I, D or N"),
+        ((total(on_q) != F.col("qe") - F.col("qs")) | (total(on_t) != F.col("te") - F.col("ts")), "a CIGAR that does not span its intervals"),
+    ]))
     ex = p.select("qname", "tname", "strand", "qs", "qe", "ts", "seq", F.posexplode("ops").alias("pos", "o"))
     upto = Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ex = ex.withColumn("dq", F.coalesce(F.sum(on_q(F.col("o"))).over(upto), F.lit(0))).withColumn("dt", F.coalesce(F.sum(on_t(F.col("o"))).over(upto), F.lit(0)))
@@ -97,34 +109,32 @@ def ucsc_chain(text: DataFrame, swap: bool = False) -> tuple[DataFrame, DataFram
     head = F.col("line").startswith("chain")
     body = body.withColumn("bin", F.floor(F.col("seq") / BIN))
     body = last_mark(body, ["file"], "bin", ["seq"], F.when(head, F.col("seq")), "number").persist()
-    first = body.filter("number is null and trim(line) != ''").limit(1).collect()
-    if first:
-        raise MapError(f"data outside a chain: {first[0]['line'][:200]!r}")
+    outside = _faults(body, [(F.expr("number is null and trim(line) != ''"), "data outside a chain")])
     h = F.split(F.trim("line"), r"[ \t]+")
     names = ["tname", "tsize", "tstrand", "tstart", "tend", "qname", "qsize", "qstrand", "qstart", "qend"]
     heads = body.filter(head).select("file", "number", "seq", "line", F.size(h).alias("n"), *[F.get(h, F.lit(i + 2)).alias(c) for i, c in enumerate(names)])
     for c in ("tsize", "tstart", "tend", "qsize", "qstart", "qend"):
         heads = heads.withColumn(c, _number(F.col(c)))
     heads = heads.persist()
-    _refuse(heads, F.col("n") < 12, "a chain header needs 12 fields")
     fine = F.col("tstrand").isin("+", "-") & F.col("qstrand").isin("+", "-") & (F.col("tstart") >= 0) & (F.col("tend") <= F.col("tsize")) & (F.col("qstart") >= 0) & (F.col("qend") <= F.col("qsize"))
-    _refuse(heads, ~F.coalesce(fine, F.lit(False)), "bad coordinates or strand in a chain header")
+    bad_heads = _faults(heads, [(F.col("n") < 12, "a chain header needs 12 fields"), (~F.coalesce(fine, F.lit(False)), "bad coordinates or strand in a chain header")])
     d = F.split(F.trim("line"), r"[ \t]+")
     # a blank line ends nothing: inside a chain it is refused
     after = Window.partitionBy("file", "number").orderBy("seq")
-    blank = body.withColumn("open", F.lag(F.size(F.split(F.trim("line"), r"[ \t]+"))).over(after)).filter("trim(line) = '' and open != 1")
-    _refuse(blank, F.lit(True), "a blank line inside a chain")
+    blank = body.withColumn("open", F.lag(F.size(F.split(F.trim("line"), r"[ \t]+"))).over(after))
+    blanks = _faults(blank, [(F.expr("trim(line) = '' and open != 1"), "a blank line inside a chain")])
     data = body.filter(~head & (F.trim("line") != "")).select("file", "number", "seq", "line", F.size(d).alias("n"), *[_number(F.get(d, F.lit(i))).alias(c) for i, c in enumerate(("size", "dt", "dq"))])
     data = data.persist()
     bad = F.col("size").isNull() | (F.col("size") < 0) | ((F.col("n") != 1) & ((F.col("n") != 3) | F.col("dt").isNull() | F.col("dq").isNull() | (F.col("dt") < 0) | (F.col("dq") < 0)))
-    _refuse(data, bad, "a bad chain line")
+    bad_data = _faults(data, [(bad, "a bad chain line")])
     inside = Window.partitionBy("file", "number").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     step = data.withColumn("pt", F.coalesce(F.sum(F.col("size") + z("dt")).over(inside), F.lit(0))).withColumn("pq", F.coalesce(F.sum(F.col("size") + z("dq")).over(inside), F.lit(0)))
     ends = data.groupBy("file", "number").agg(F.sum(F.col("size") + z("dt")).alias("all_t"), F.sum(F.col("size") + z("dq")).alias("all_q"), F.sum((F.col("n") == 1).cast("int")).alias("closers"), F.max_by("n", "seq").alias("last_n"))
     whole = heads.join(ends, ["file", "number"], "left")
     spans = (F.col("closers") == 1) & (F.col("last_n") == 1) & (F.col("tstart") + F.col("all_t") == F.col("tend")) & (F.col("qstart") + F.col("all_q") == F.col("qend"))
-    _refuse(whole, ~F.coalesce(spans, F.lit(False)), "a chain that is not closed or does not reach its ends")
+    cut_off = _faults(whole, [(~F.coalesce(spans, F.lit(False)), "a chain that is not closed or does not reach its ends")])
+    _refuse(outside, bad_heads, blanks, bad_data, cut_off)
     x = step.select("file", "number", "size", "pt", "pq").join(heads.drop("seq", "line", "n"), ["file", "number"])
     t, q = F.col("tstart") + F.col("pt"), F.col("qstart") + F.col("pq")
     blocks = x.select(
@@ -142,7 +152,7 @@ def bed(text: DataFrame) -> DataFrame:
     f = F.split("line", "\t", 64)
     b = rows.select("line", F.col("seq").alias("query_id"), F.size(f).alias("n"), F.get(f, F.lit(0)).alias("name"), _number(F.get(f, F.lit(1))).alias("lo"), _number(F.get(f, F.lit(2))).alias("hi"), F.slice(f, 4, 64).alias("rest"))
     fine = (F.col("n") >= 3) & (F.col("lo") >= 0) & (F.col("lo") <= F.col("hi"))
-    _refuse(b, ~F.coalesce(fine, F.lit(False)), "a bad BED line")
+    _refuse(_faults(b, [(~F.coalesce(fine, F.lit(False)), "a bad BED line")]))
     return b.select("query_id", "name", "lo", "hi", "rest")
 
 
