@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axismap.llm.tables import slices
+
 UNKNOWN = "und"
 DOCS_PER_LANG = 2000
-MAX_WORDS, MAX_GRAMS = 150_000, 150_000
+MAX_WORDS, MAX_GRAMS = 100_000, 100_000
 LONGEST = 5
 MIN_WORD_COUNT, MIN_GRAM_COUNT = 2, 3
 SMOOTH = 0.5
 SURE_WORDS = 20
-MEMO = 300_000
+MEMO = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,32 +54,30 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """Log frequencies by language: words and n-grams name rows of one matrix."""
 
     def __init__(self, langs: list[str], word_counts: dict[str, list[int]], gram_counts: dict[str, list[int]]) -> None:
         self.langs = langs
-        self.words = self._logs({0: word_counts})
         by_length: dict[int, dict[str, list[int]]] = defaultdict(dict)
         for g, c in gram_counts.items():
             by_length[len(g)][g] = c
-        self.grams = self._logs(by_length)
+        parts = [word_counts, *by_length.values()]
+        self.words = {w: k for k, w in enumerate(word_counts)}
+        self.grams = {g: k + len(self.words) for k, g in enumerate(g for t in parts[1:] for g in t)}
+        self.logs = np.concatenate([self._logs(t) for t in parts if t] or [np.zeros((0, len(langs)), np.float32)])
 
     @staticmethod
-    def _logs(tables: dict[int, dict[str, list[int]]]) -> dict[str, np.ndarray]:
-        out = {}
-        for table in tables.values():
-            totals = np.array(list(table.values()), np.float64).sum(0) + SMOOTH * len(table)
-            for k, c in table.items():
-                out[k] = np.log((np.array(c) + SMOOTH) / totals)
-        return out
+    def _logs(table: dict[str, list[int]]) -> np.ndarray:
+        n = np.array(list(table.values()), np.float64)
+        return np.log((n + SMOOTH) / (n.sum(0) + SMOOTH * len(n))).astype(np.float32)
 
     def of_word(self, word: str) -> np.ndarray:
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.logs[known]
         for n in range(LONGEST, 0, -1):
-            if found := [self.grams[g] for g in grams(word, n) if g in self.grams]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if found := [k for g in grams(word, n) if (k := self.grams.get(g)) is not None]:
+                return self.logs[found].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
 
 
 class Scorer:
@@ -85,7 +85,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.at = model, {}
-        self.rows = np.zeros((MEMO, max(1, len(model.langs))))
+        self.rows = np.zeros((MEMO, max(1, len(model.langs))), np.float32)
 
     def _row(self, word: str) -> int:
         k = len(self.at)
@@ -103,13 +103,24 @@ class Scorer:
             if len(self.at) + len(part) > MEMO:
                 self.at.clear()
             get, row = self.at.get, self._row
-            total += self.rows[[k if (k := get(w)) is not None else row(w) for w in part]].sum(0)
+            total += self.rows[[k if (k := get(w)) is not None else row(w) for w in part]].sum(0, dtype=np.float64)
         mean = total / max(1, len(found)) * min(len(found), SURE_WORDS)
         chance = np.exp(mean - mean.max())
         best = int(chance.argmax())
         return self.model.langs[best], float(chance[best] / chance.sum())
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def _scorer(shared) -> Scorer:
+    """The scorer of a broadcast model, one per worker process, so that tasks share its memory."""
+    if id(shared.value) not in _scorers:
+        _scorers.clear()
+        _scorers[id(shared.value)] = Scorer(shared.value)
+    return _scorers[id(shared.value)]
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """A model of the labelled rows of ``docs`` (rows without a label or text are left out)."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
@@ -123,7 +134,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def count(batches):
         seen: dict[tuple[str, str], int] = defaultdict(int)
-        for b in batches:
+        for b in slices(batches):
             for l, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for w in words(t):
                     seen[l, w] += 1
@@ -131,7 +142,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def cut(batches):
         seen: dict[tuple[str, str], int] = defaultdict(int)
-        for b in batches:
+        for b in slices(batches):
             for l, w, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for n in range(1, LONGEST + 1):
                     for g in grams(w, n):
@@ -161,8 +172,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        for b in batches:
+        scorer = _scorer(shared)
+        for b in slices(batches):
             found = [scorer(t) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
@@ -185,8 +196,8 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     names, where = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        for b in batches:
+        scorer = _scorer(shared)
+        for b in slices(batches):
             found = [scorer(t) for t in b.column(where).to_pylist()]
             yield b.filter(pa.array([l != UNKNOWN and s >= least for l, s in found], pa.bool_()))
 

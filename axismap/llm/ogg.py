@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from axismap.llm.tables import slices
+
 SAMPLE_RATE = 8000
 PACKET_SAMPLES = 4096
 PAD_TO = 64
@@ -233,7 +235,7 @@ def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             made = [encode(*pad(t)) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made, pa.binary())], [*keep, "media"])
 
@@ -258,7 +260,7 @@ def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
 
     def run(batches):
         kinds_of = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-        for b in batches:
+        for b in slices(batches):
             rows = [one(x) for x in b.column(len(keep)).to_pylist()]
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], [*keep, *names])
@@ -272,7 +274,7 @@ def packets(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows, at = [], []
             for k, data in enumerate(b.column(len(keep)).to_pylist()):
                 for s in decode(data or b"").values():

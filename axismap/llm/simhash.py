@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import stash
+from axismap.llm.tables import slices, stash
 
 SHINGLE = 4
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["key", "fp"])
 

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_AT_ONCE = 1000
 _written: dict[str, list[str]] = {}
 
 
@@ -44,3 +47,10 @@ def release(spark: SparkSession) -> None:
     for path in _written.pop(spark.sparkContext.applicationId, []):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of few rows, which bounds what Python holds of them at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import stash
+from axismap.llm.tables import slices, stash
 
 RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,7 +78,7 @@ def _digests(pages: DataFrame, key: str, url: str, payload: str, with_payload: b
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             raw = [(x or "").encode() for x in b.column(2).to_pylist()]
             strong = pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())
             if with_payload:
@@ -100,7 +100,7 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     kind = heads.schema["key"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             cols = [b.column(k).to_pylist() for k in range(b.num_columns)]
             made = [header_block(k, u, t, f, n, d) for k, u, n, d, t, f in zip(cols[0], cols[1], cols[3], cols[4], cols[5], cols[6], strict=True)]
             refers = pa.array([f if t == REVISIT else None for t, f in zip(cols[5], cols[6], strict=True)], b.column(6).type)
@@ -121,7 +121,7 @@ def read_archive(headers: DataFrame, store: DataFrame, with_records: bool = True
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for strong, header, body in zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
                 payload = unpack.decompress(body)
