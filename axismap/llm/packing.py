@@ -19,7 +19,10 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -27,23 +30,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import stash
+from axismap.llm.tables import slices, stash
 
 CAPACITY = 1024
 END_ID = 2
 GROUP_PIECES = 4096
-CACHE = 300_000
+CACHE = 250_000
 TEXTS_AT_ONCE = 200
 TOKENIZER = "byte_bpe_50k.json"
 #: White space other than single blanks and line feeds between words: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 
 
+#: A word of letters with what follows it: two tokenizer units where both are there.
+_LETTERS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Bytes that have no printable Latin-1 sign take the signs from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(odd)}
+
+
+_SIGNS = _byte_alphabet()
+
+
 class Ids:
     """Token ids (little-endian, four bytes each) of texts, remembered by word.
 
+    What is remembered has two generations of ``CACHE`` words: when the young one is
+    full it becomes the old one, from which words in use are taken over.
+
     The tokenizer never joins a word with the blank that follows it or with a line
-    feed, so ids of blank-led words and of line starts can be put together.
+    feed, so ids of blank-led words and of line starts can be put together. A new word
+    of letters alone is one unit of its own and goes to the tokenizer's model directly,
+    in the model's byte alphabet; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -51,35 +73,68 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.led: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.old: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.feed = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _unit(self, text: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text.encode().decode("latin-1").translate(_SIGNS))])
+
     def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        if new:
-            known.update(zip(new, self._encode([lead + w for w in new]), strict=True))
+        rest, old = [], self.old[lead]
+        for w in new:
+            if (met := old.get(w)) is not None:
+                known[w] = met
+                continue
+            if w.isalpha():
+                known[w] = self._unit(lead + w)
+                continue
+            if len(w) > 1 and w[:-1].isalpha() and not w[-1].isalnum():
+                stem, tail = w[:-1], w[-1]
+            elif (found := _LETTERS.fullmatch(w)) and found[1].isalpha():
+                stem, tail = found[1], found[2]
+            else:
+                rest.append(w)
+                continue
+            if (ids := known.get(stem)) is None:
+                known[stem] = ids = old.get(stem) or self._unit(lead + stem)
+            if tail not in self.bare:
+                self.bare[tail] = self._encode([tail])[0]
+            known[w] = ids + self.bare[tail]
+        if rest:
+            known.update(zip(rest, self._encode([lead + w for w in rest]), strict=True))
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = [t or "" for t in texts]
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[k : k + TEXTS_AT_ONCE]
-            lines = [None if _ODD_SPACE.search(t) else [x.split(" ") for x in t.split("\n")] for t in part]
+            lines = [None if _ODD_SPACE.search(t) else [_first_and_rest(x) for x in t.split("\n")] for t in part]
             whole = iter(self._encode([t for t, x in zip(part, lines, strict=True) if x is None]))
-            if len(self.led) > CACHE:
-                self.led.clear()
-            if len(self.bare) > CACHE:
-                self.bare.clear()
-            led: set[str] = set()
-            for line in (y for x in lines if x is not None for y in x):
-                led.update(line[1:])
-            self._learn(self.led, led - self.led.keys(), " ")
-            self._learn(self.bare, {y[0] for x in lines if x is not None for y in x} - self.bare.keys(), "")
+            if len(self.led) + len(self.bare) > CACHE:
+                self.old = {" ": self.led, "": self.bare}
+                self.led, self.bare = {}, {}
+            every = [y for x in lines if x is not None for y in x]
+            self._learn(self.led, set().union(*(y[1] for y in every)) - self.led.keys(), " ")
+            self._learn(self.bare, {y[0] for y in every} - self.bare.keys(), "")
             get, bare = self.led.__getitem__, self.bare
             for x in lines:
-                yield next(whole) if x is None else self.feed.join([bare[y[0]] + b"".join(map(get, y[1:])) for y in x])
+                yield next(whole) if x is None else self.feed.join([bare[y[0]] + b"".join(map(get, y[1])) for y in x])
+
+
+def _first_and_rest(line: str) -> tuple[str, list[str]]:
+    first, blank, rest = line.partition(" ")
+    return first, rest.split(" ") if blank else []
+
+
+@cache
+def ids_of(path: str | None) -> Ids:
+    """One of a worker process, so that its tasks share what is remembered."""
+    return Ids(path)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -95,9 +150,9 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
-        ids = Ids(tokenizer)
+        ids = ids_of(tokenizer)
         end = struct.pack("<I", END_ID)
-        for b in batches:
+        for b in slices(batches):
             at, out = [], []
             for k, raw in enumerate(ids(b.column(1).to_pylist())):
                 raw += end
@@ -131,69 +186,121 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _exchange(bins: list[list[int]], fill: list[int], lengths: list[int], poor: int, others: list[int], capacity: int) -> bool:
-    """One exchange between the bin ``poor`` and another that raises the squared fill."""
-    mine = sorted(bins[poor], key=lambda i: -lengths[i])
-    pairs = [(a, b) for k, a in enumerate(mine) for b in mine[k + 1 :]]
-    give = [((i,), lengths[i]) for i in mine] + [((a, b), lengths[a] + lengths[b]) for a, b in pairs]
-    best: tuple[int, int, tuple, tuple] | None = None
-    for other in others:
-        room = capacity - fill[other]
-        if other == poor or not room or not bins[other]:
-            continue
-        theirs = bins[other]
-        take = [((), 0), *(((j,), lengths[j]) for j in theirs)]
-        twos = [((a, b), lengths[a] + lengths[b]) for k, a in enumerate(theirs) for b in theirs[k + 1 :]]
-        for out, n in give:
-            for back, m in [*take, *twos] if len(out) == 1 else take:
-                gain = n - m
-                # fill[other] grows by gain and fill[poor] falls by it
-                if 0 < gain <= room and fill[other] + gain > fill[poor]:
-                    rise = gain * (fill[other] - fill[poor] + gain)
-                    if best is None or rise > best[0]:
-                        best = rise, other, out, back
-    if best is None:
-        return False
-    _, other, out, back = best
-    bins[poor] = [i for i in bins[poor] if i not in out] + list(back)
-    bins[other] = [i for i in bins[other] if i not in back] + list(out)
-    gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-    fill[poor] -= gain
-    fill[other] += gain
-    return True
+class _Rooms:
+    """Underfull bins by the room that they have, and as bit sets what each room's bins can give.
+
+    Bit m of ``gives[room][0]`` is set if some bin of that room holds an item of length m
+    (bit 0: nothing need be taken back), of ``[1]`` if two of its items add up to m.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int) -> None:
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.by_room: dict[int, set[int]] = defaultdict(set)
+        self.gives: dict[int, tuple[int, int]] = {}
+        for k in range(len(bins)):
+            self.put(k)
+
+    def put(self, k: int) -> None:
+        room = self.capacity - self.fill[k]
+        if room and self.bins[k]:
+            self.by_room[room].add(k)
+            self.gives.pop(room, None)
+
+    def take(self, k: int) -> None:
+        room = self.capacity - self.fill[k]
+        if k in self.by_room.get(room, ()):
+            self.by_room[room].discard(k)
+            self.gives.pop(room, None)
+            if not self.by_room[room]:
+                del self.by_room[room]
+
+    def masks(self, room: int) -> tuple[int, int]:
+        if room not in self.gives:
+            one, two = 1, 0
+            for k in self.by_room[room]:
+                own = [self.lengths[i] for i in self.bins[k]]
+                for m in own:
+                    one |= 1 << m
+                for a, b in combinations(own, 2):
+                    two |= 1 << (a + b)
+            self.gives[room] = one, two
+        return self.gives[room]
+
+    def contents(self, k: int) -> tuple[int, ...]:
+        return tuple(sorted(self.lengths[i] for i in self.bins[k]))
+
+    def exchange(self, poor: int) -> bool:
+        """The exchange of ``poor`` (taken out) with another bin that raises the squared fill most."""
+        mine, size = self.bins[poor], self.lengths
+        give = {size[i]: (i,) for i in mine}
+        for a, b in combinations(mine, 2):
+            give.setdefault(size[a] + size[b], (a, b))
+        best: tuple[int, int, int, tuple[int, ...]] | None = None
+        for room in self.by_room:
+            one, two = self.masks(room)
+            for n, out in give.items():
+                back = one | two if len(out) == 1 else one
+                low = max(0, n - room)
+                if not (open_ := (back >> low) & ((1 << (n - low)) - 1)):
+                    continue
+                gain = n - low - (open_ & -open_).bit_length() + 1  # least taken back, most gained
+                rise = gain * (self.capacity - room - self.fill[poor] + gain)
+                if rise > 0 and (best is None or rise > best[0]):
+                    best = rise, room, n - gain, out
+        if best is None:
+            return False
+        _, room, m, out = best
+        for other in sorted(self.by_room[room]):
+            theirs = self.bins[other]
+            back = () if m == 0 else next(((j,) for j in theirs if size[j] == m), None)
+            if back is None and len(out) == 1:
+                back = next((p for p in combinations(theirs, 2) if size[p[0]] + size[p[1]] == m), None)
+            if back is not None:
+                break
+        self.take(other)
+        self.bins[poor] = [i for i in mine if i not in out] + list(back)
+        self.bins[other] = [i for i in theirs if i not in back] + list(out)
+        gain = sum(size[i] for i in out) - m
+        self.fill[poor] -= gain
+        self.fill[other] += gain
+        self.put(other)
+        return True
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Empty underfull bins by exchanges, the least filled first; keeps every item.
 
-    Bins of equal contents are tried once as partners. Ends when the bins are as few
-    as the tokens allow, or when no underfull bin has an exchange left.
+    Ends when the bins are as few as the tokens allow, or when no underfull bin has an
+    exchange left. Bins of equal contents that cannot be helped are tried once.
     """
-    bins = [list(b) for b in bins]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    fewest = -(-sum(lengths) // capacity)
+    state = _Rooms([list(b) for b in bins], lengths, capacity)
+    fewest, left = -(-sum(lengths) // capacity), len(bins)
     stuck: set[tuple[int, ...]] = set()
-    while sum(1 for b in bins if b) > fewest:
-        unlike: dict[tuple[int, ...], int] = {}
-        for k, b in enumerate(bins):
-            if b and fill[k] < capacity:
-                unlike.setdefault(tuple(sorted(lengths[i] for i in b)), k)
-        poor = min((k for s, k in unlike.items() if s not in stuck), key=lambda k: (fill[k], k), default=None)
+    while left > fewest:
+        poor = next((k for room in sorted(state.by_room, reverse=True) for k in sorted(state.by_room[room]) if state.contents(k) not in stuck), None)
         if poor is None:
             break
-        twins = [k for k, b in enumerate(bins) if b and k != poor and fill[k] == fill[poor] and sorted(lengths[i] for i in b) == sorted(lengths[i] for i in bins[poor])][:1]
-        others = [k for k in unlike.values() if k != poor] + twins
+        state.take(poor)
         moved = False
-        while bins[poor] and _exchange(bins, fill, lengths, poor, others, capacity):
+        while state.bins[poor] and state.exchange(poor):
             moved = True
         if moved:
             stuck.clear()
-        stuck.add(tuple(sorted(lengths[i] for i in bins[poor])))
-    return [b for b in bins if b]
+        if state.bins[poor]:
+            stuck.add(state.contents(poor))
+            state.put(poor)
+        else:
+            left -= 1
+    return [b for b in state.bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """Bins of item numbers; whole sequences stand alone and are not searched."""
+    full = [[i] for i, n in enumerate(lengths) if n == capacity]
+    rest = [i for i, n in enumerate(lengths) if n < capacity]
+    own = [lengths[i] for i in rest]
+    return full + [[rest[i] for i in b] for b in local_search(best_fit(own, capacity), own, capacity)]
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
