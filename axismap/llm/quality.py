@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axismap.llm.langid import held_out
+from axismap.llm.tables import slices
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -33,7 +34,7 @@ GRAMS = (3, 4)
 TRAIN_DOCS = 3000
 EPOCHS = 6
 RATE = 0.8
-MEMO = 300_000
+MEMO = 400_000
 CUT = 0.3
 SEED = 11
 
@@ -104,6 +105,18 @@ class Scorer:
         return float(1 / (1 + np.exp(-(total / max(1, n) + self.bias))))
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def _scorer(shared) -> Scorer:
+    """The scorer of a broadcast model, one per worker process, so that its tasks share known words."""
+    if id(shared.value) not in _scorers:
+        _scorers.clear()
+        _scorers[id(shared.value)] = Scorer(*shared.value)
+        _scorers[id(shared.value)].model = shared.value  # held, so that its id stays its own
+    return _scorers[id(shared.value)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     """Weights and bias from about ``train_docs`` of the labelled documents."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
@@ -114,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(spread < min(1.0, train_docs / max(1, n)))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["label", "at", "n"])
 
@@ -129,8 +142,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches):
-        scorer = Scorer(*shared.value)
-        for b in batches:
+        scorer = _scorer(shared)
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer(t) for t in b.column(1).to_pylist()], pa.float64())], [key, "score"])
 
     return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double")
