@@ -37,23 +37,19 @@ END_ID = 2
 GROUP_PIECES = 4096
 CACHE = 250_000
 TEXTS_AT_ONCE = 200
+WORDS_AT_ONCE = 256
 TOKENIZER = "byte_bpe_50k.json"
-#: White space other than single blanks and line feeds between words: such texts are encoded whole.
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: White space other than blanks and line feeds.
+_ODD_SPACE = re.compile(r"[^\S \n]")
 
 
-#: A word of letters with what follows it: two tokenizer units where both are there.
-_LETTERS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """Bytes that have no printable Latin-1 sign take the signs from 256 on, in order."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    odd = [b for b in range(256) if b not in plain]
-    return {b: chr(256 + k) for k, b in enumerate(odd)}
+def _odd(text: str) -> bool:
+    """Whether white space is other than single blanks and line feeds between words: such texts are encoded whole."""
+    return "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD_SPACE.search(text) is not None
 
 
-_SIGNS = _byte_alphabet()
+#: A word of letters with what follows it: two tokenizer units where both are there.
+_LETTERS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 
 
 class Ids:
@@ -64,56 +60,83 @@ class Ids:
 
     The tokenizer never joins a word with the blank that follows it or with a line
     feed, so ids of blank-led words and of line starts can be put together. A new word
-    of letters alone is one unit of its own and goes to the tokenizer's model directly,
-    in the model's byte alphabet; any other goes through the whole tokenizer.
+    of letters alone is one unit of its own: such words go to the tokenizer's model many
+    at a time, held apart by a character that takes part in no merge. Any other word
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        path = path or public_tokenizers.path(TOKENIZER)
+        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.joined.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer.encode_special_tokens = self.joined.encode_special_tokens = True
+        self.apart, self.apart_id = self._unmerged()
         self.led: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.old: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.feed = self._encode(["\n"])[0]
 
+    def _unmerged(self) -> tuple[str, int]:
+        """A control character that is a token and part of no other, and its id."""
+        merged = set().union(*(t for t in self.joined.get_vocab() if len(t) > 1))
+        for c in map(chr, range(32)):
+            ids = self.joined.encode(c, add_special_tokens=False).ids
+            if len(ids) == 1 and self.joined.id_to_token(ids[0]) not in merged:
+                return c, ids[0]
+        raise ValueError("every control character of the tokenizer takes part in a merge")
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _unit(self, text: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text.encode().decode("latin-1").translate(_SIGNS))])
+    def _units(self, words: list[str], lead: str) -> Iterator[bytes]:
+        """Ids of words of letters, each with ``lead`` before it."""
+        between = self.apart + lead
+        parts = [lead + between.join(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
+        for e in self.joined.encode_batch_fast(parts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for end in (4 * np.flatnonzero(ids == self.apart_id)).tolist():
+                yield raw[at:end]
+                at = end + 4
+            yield raw[at:]
 
     def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        rest, old = [], self.old[lead]
+        old, letters, built, rest = self.old[lead], {}, [], []
         for w in new:
             if (met := old.get(w)) is not None:
                 known[w] = met
                 continue
             if w.isalpha():
-                known[w] = self._unit(lead + w)
+                letters[w] = None
                 continue
-            if len(w) > 1 and w[:-1].isalpha() and not w[-1].isalnum():
+            if w[:-1].isalpha() and not w[-1].isalnum():
                 stem, tail = w[:-1], w[-1]
             elif (found := _LETTERS.fullmatch(w)) and found[1].isalpha():
                 stem, tail = found[1], found[2]
             else:
                 rest.append(w)
                 continue
-            if (ids := known.get(stem)) is None:
-                known[stem] = ids = old.get(stem) or self._unit(lead + stem)
-            if tail not in self.bare:
-                self.bare[tail] = self._encode([tail])[0]
-            known[w] = ids + self.bare[tail]
-        if rest:
-            known.update(zip(rest, self._encode([lead + w for w in rest]), strict=True))
+            built.append((w, stem, tail))
+            if stem not in known:
+                if (met := old.get(stem)) is not None:
+                    known[stem] = met
+                else:
+                    letters[stem] = None
+        known.update(zip(letters, self._units(list(letters), lead), strict=True))
+        tails = list({tail for _, _, tail in built} - self.bare.keys())
+        self.bare.update(zip(tails, self._encode(tails), strict=True))
+        for w, stem, tail in built:
+            known[w] = known[stem] + self.bare[tail]
+        known.update(zip(rest, self._encode([lead + w for w in rest]), strict=True))
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = [t or "" for t in texts]
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[k : k + TEXTS_AT_ONCE]
-            lines = [None if _ODD_SPACE.search(t) else [_first_and_rest(x) for x in t.split("\n")] for t in part]
+            lines = [None if _odd(t) else [_first_and_rest(x) for x in t.split("\n")] for t in part]
             whole = iter(self._encode([t for t, x in zip(part, lines, strict=True) if x is None]))
             if len(self.led) + len(self.bare) > CACHE:
                 self.old = {" ": self.led, "": self.bare}
