@@ -18,6 +18,7 @@ and text are read when scoring.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,33 @@ TRAIN_DOCS = 3000
 EPOCHS = 6
 RATE = 0.8
 MEMO = 400_000
+AT_ONCE = 4096
+LONGEST_KNOWN = 64
 CUT = 0.3
 SEED = 11
 
 
-def buckets(word: str) -> list[int]:
-    """Hash rows of a word: its own and those of its character n-grams."""
-    raw = word.encode()
-    if len(raw) > 64:  # long strings count by their own row, so the work per byte stays the same
-        return [xxhash.xxh32_intdigest(raw) % BUCKETS]
-    marked = f"<{word}>"
+def parts(word: str) -> Iterator[list[int]]:
+    """Hash rows of a word of any length, those of ``AT_ONCE`` places at a time: its own and those of its character n-grams."""
     digest = xxhash.xxh32_intdigest
-    return [digest(raw) % BUCKETS, *(digest(marked[i : i + n].encode(), n) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1))]
+    yield [digest(word.encode()) % BUCKETS]
+    marked = f"<{word}>"
+    for k in range(0, len(marked), AT_ONCE):
+        yield [digest(marked[i : i + n].encode(), n) % BUCKETS for n in GRAMS for i in range(k, min(k + AT_ONCE, len(marked) - n + 1))]
+
+
+def buckets(word: str) -> list[int]:
+    """All hash rows of a word."""
+    return [b for part in parts(word) for b in part]
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a whole text."""
     seen: Counter[int] = Counter()
     for word, n in Counter((text or "").split()).items():
-        for b in buckets(word):
-            seen[b] += n
+        for part in parts(word):
+            for b in part:
+                seen[b] += n
     return np.fromiter(seen.keys(), np.int32, len(seen)), np.fromiter(seen.values(), np.float32, len(seen))
 
 
@@ -88,6 +96,9 @@ class Scorer:
         self.weights, self.bias, self.known = weights, bias, {}
 
     def word(self, w: str) -> tuple[float, int]:
+        if len(w) > LONGEST_KNOWN:  # summed part by part and not remembered, which bounds memory
+            found = [(float(self.weights[at].sum()), len(at)) for at in parts(w)]
+            return sum(s for s, _ in found), sum(n for _, n in found)
         at = buckets(w)
         found = float(self.weights[at].sum()), len(at)
         if len(self.known) >= MEMO:
