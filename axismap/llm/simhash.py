@@ -335,6 +335,11 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text:
     Of rows that repeat one id and text, one stays; rows without an id stay unless
     their component has a row with one.
     """
-    kept = components(docs, radius, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    stays = docs.join(kept, docs[key].eqNullSafe(F.col("__kept")), "left_semi").withColumn("__same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    slim = docs.select(key, text).withColumn("__same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    named = slim.withColumn("__id", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__same").alias("same")))
+    # a row is told by its id and text, so that it is kept for its own component only
+    kept = components(named, radius, "__id", text).filter(F.col("__id.key").eqNullSafe(F.col("component_id.key")))
+    kept = kept.select(F.col("__id.key").alias("__kept"), F.col("__id.same").alias("__text")).distinct()
+    stays = docs.withColumn("__same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    stays = stays.join(kept, stays[key].eqNullSafe(kept["__kept"]) & (stays["__same"] == kept["__text"]), "left_semi")
     return stays.dropDuplicates([key, "__same"]).drop("__same")

@@ -91,3 +91,11 @@ def test_near_duplicates(docs, odd_rows):
     kept = sorted(str(r.doc_id) for r in simhash.near_dedup(docs(rows)).collect())
     assert kept == sorted({str(k) for k, _, c in want if k == c})
     assert simhash.components(docs([])).count() == 0 and simhash.near_dedup(docs([])).count() == 0
+
+
+def test_near_dedup_keeps_a_row_for_its_own_component(docs):
+    """Null and repeated ids: another component's kept id keeps no copy."""
+    texts = ["one text about rivers and hills in spring", "quite another one, of ships at sea", "a third: bread, salt and oil"]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (2, texts[2]), (5, "the fifth has a text of its own")]
+    got = [(r.doc_id, r.text) for r in simhash.near_dedup(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
