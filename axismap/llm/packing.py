@@ -2,12 +2,26 @@
 
 Documents become token ids and an end id; one longer than a sequence is cut into
 whole sequences, its first piece taking what is left over. Only lengths, checksums
-and places travel: (id, piece, start, length, checksum). Pieces are dealt by hash
-into groups of about ``GROUP_PIECES``, and each group is packed on its own: best
-fit by falling length, then exchanges (a move, one for one, two for one, one for
-two) that each raise the sum of squared fills, emptying the least filled bins,
-until the group has as few bins as its tokens need or no exchange is left. A group
-costs at most a bin or so more than packing everything together.
+and places travel: (id, piece, start, length, checksum). How many sequences are
+needed, and which lengths share one, depends on nothing but how many pieces have each
+length, so one table of at most ``capacity`` rows goes to the driver and all pieces
+are packed together, however many they are:
+
+1. Best fit, all pieces of a length at a time. Bins of equal contents are one class
+   with a count. Starts differ in the order of the lengths (falling, dealt, rising).
+2. Local search over the classes of underfull bins: a move, one for one, two for one
+   or one for two, each raising the sum of squared fills, as many bins at once as both
+   classes have, until no exchange is left. The start that ends with the fewest bins stays.
+3. The plan says which ranks within a length fill which sequences. A piece's rank is
+   its place within its task plus a prefix sum over (task, length), so repeated rows,
+   one id or one length with any share of the rows are never one task.
+
+What is broadcast: the plan, whose rows grow with the number of lengths, not of pieces
+(each length splits at most two classes); beyond ``PLAN_ROWS`` rows it is joined by
+length without a broadcast.
+
+Texts go through the plain tokenizer: a special token that stands in a text as such
+becomes its own id, as the tokenizer does by itself.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as often as they occur; an empty table gives an empty result; columns other
@@ -16,25 +30,28 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axismap.llm.tables import slices, stash
 
 CAPACITY = 1024
 END_ID = 2
-GROUP_PIECES = 4096
+SEED = 7
+BASE = 32
+PLAN_ROWS = 1 << 18
 CACHE = 250_000
 TEXTS_AT_ONCE = 200
 WORDS_AT_ONCE = 256
@@ -43,9 +60,9 @@ TOKENIZER = "byte_bpe_50k.json"
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
-def _odd(text: str) -> bool:
-    """Whether white space is other than single blanks and line feeds between words: such texts are encoded whole."""
-    return "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD_SPACE.search(text) is not None
+def _odd(text: str, special: tuple[str, ...] = ()) -> bool:
+    """Whether white space is other than single blanks and line feeds between words, or a special token occurs: such texts are encoded whole."""
+    return any(s in text for s in special) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD_SPACE.search(text) is not None
 
 
 #: A word of letters with what follows it: two tokenizer units where both are there.
@@ -72,7 +89,7 @@ class Ids:
         path = path or public_tokenizers.path(TOKENIZER)
         self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.joined.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer.encode_special_tokens = self.joined.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.apart, self.apart_id = self._unmerged()
         self.led: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -136,7 +153,7 @@ class Ids:
         texts = [t or "" for t in texts]
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[k : k + TEXTS_AT_ONCE]
-            lines = [None if _odd(t) else [_first_and_rest(x) for x in t.split("\n")] for t in part]
+            lines = [None if _odd(t, self.special) else [_first_and_rest(x) for x in t.split("\n")] for t in part]
             whole = iter(self._encode([t for t, x in zip(part, lines, strict=True) if x is None]))
             if len(self.led) + len(self.bare) > CACHE:
                 self.old = {" ": self.led, "": self.bare}
@@ -169,71 +186,113 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """A row per piece: key, piece, start, length, ids_crc32. No shuffle."""
+    """A row per piece: key, piece, start, length, ids_crc32, and task and nth (its place among the task's pieces of that length). No shuffle."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
         ids = ids_of(tokenizer)
-        end = struct.pack("<I", END_ID)
+        end, task = struct.pack("<I", END_ID), TaskContext.get().partitionId()
+        met: Counter[int] = Counter()
         for b in slices(batches):
             at, out = [], []
             for k, raw in enumerate(ids(b.column(1).to_pylist())):
                 raw += end
                 for i, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
                     at.append(k)
-                    out.append((i, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])))
-            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.int64()])]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], ["key", "piece", "start", "length", "ids_crc32"])
+                    out.append((i, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), task, met[n]))
+                    met[n] += 1
+            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], ["key", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint")
 
 
-def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of item numbers: each item, longest first, where it leaves the least room."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+Contents = tuple[int, ...]
+
+
+def best_fit(counts: dict[int, int], order: list[int], capacity: int = CAPACITY) -> Counter[Contents]:
+    """How many bins have which contents: each piece, in ``order`` of lengths, goes where it leaves the least room."""
+    by_room: dict[int, list[tuple[Contents, int]]] = defaultdict(list)
     rooms = 0  # bit r is set if a bin has room r
-    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[item]
-        if fits := rooms >> n:
-            room = n + (fits & -fits).bit_length() - 1
-            at = by_room[room].pop()
-            if not by_room[room]:
-                rooms ^= 1 << room
-        else:
-            room, at = capacity, len(bins)
-            bins.append([])
-        bins[at].append(item)
-        by_room[room - n].append(at)
-        rooms |= 1 << (room - n)
-    return bins
-
-
-class _Rooms:
-    """Underfull bins by the room that they have, and as bit sets what each room's bins can give.
+
+    def put(contents: Contents, room: int, n: int) -> None:
+        nonlocal rooms
+        if n:
+            by_room[room].append((contents, n))
+            rooms |= 1 << room
+
+    for size in order:
+        left = counts[size]
+        while left:
+            if fits := rooms >> size:
+                room = size + (fits & -fits).bit_length() - 1
+                contents, n = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, contents, n = capacity, (), left
+            each = min(left, room // size)
+            now = min(n, left // each)
+            if contents:
+                put(contents, room, n - now)
+            put(_held((*contents, *[size] * each)), room - each * size, now)
+            left -= each * now
+    out: Counter[Contents] = Counter()
+    for classes in by_room.values():
+        for contents, n in classes:
+            out[contents] += n
+    return out
+
+
+def _held(sizes: Iterable[int]) -> Contents:
+    return tuple(sorted(sizes, reverse=True))
+
+
+def _pairs(contents: Contents) -> Iterator[tuple[int, int]]:
+    """Each two of the lengths that can be taken out together."""
+    have = Counter(contents)
+    sizes = sorted(have)
+    for k, a in enumerate(sizes):
+        if have[a] > 1:
+            yield a, a
+        for b in sizes[k + 1 :]:
+            yield a, b
+
+
+class _Classes:
+    """Classes of underfull bins by the room that they have, and as bit sets what each room's bins can give.
 
     Bit m of ``gives[room][0]`` is set if some bin of that room holds an item of length m
     (bit 0: nothing need be taken back), of ``[1]`` if two of its items add up to m.
     """
 
-    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int) -> None:
-        self.bins, self.lengths, self.capacity = bins, lengths, capacity
-        self.fill = [sum(lengths[i] for i in b) for b in bins]
-        self.by_room: dict[int, set[int]] = defaultdict(set)
+    def __init__(self, bins: Counter[Contents], capacity: int) -> None:
+        self.capacity = capacity
+        self.full: Counter[Contents] = Counter()
+        self.count: Counter[Contents] = Counter()
+        self.by_room: dict[int, set[Contents]] = defaultdict(set)
         self.gives: dict[int, tuple[int, int]] = {}
-        for k in range(len(bins)):
-            self.put(k)
-
-    def put(self, k: int) -> None:
-        room = self.capacity - self.fill[k]
-        if room and self.bins[k]:
-            self.by_room[room].add(k)
+        for contents, n in bins.items():
+            self.add(contents, n)
+
+    def add(self, contents: Contents, n: int) -> None:
+        room = self.capacity - sum(contents)
+        if not contents or not n:
+            return
+        if not room:
+            self.full[contents] += n
+            return
+        if contents not in self.by_room[room]:
+            self.by_room[room].add(contents)
             self.gives.pop(room, None)
-
-    def take(self, k: int) -> None:
-        room = self.capacity - self.fill[k]
-        if k in self.by_room.get(room, ()):
-            self.by_room[room].discard(k)
+        self.count[contents] += n
+
+    def drop(self, contents: Contents, n: int) -> None:
+        self.count[contents] -= n
+        if not self.count[contents]:
+            del self.count[contents]
+            room = self.capacity - sum(contents)
+            self.by_room[room].discard(contents)
             self.gives.pop(room, None)
             if not self.by_room[room]:
                 del self.by_room[room]
@@ -241,110 +300,120 @@ class _Rooms:
     def masks(self, room: int) -> tuple[int, int]:
         if room not in self.gives:
             one, two = 1, 0
-            for k in self.by_room[room]:
-                own = [self.lengths[i] for i in self.bins[k]]
-                for m in own:
+            for contents in self.by_room[room]:
+                for m in contents:
                     one |= 1 << m
-                for a, b in combinations(own, 2):
+                for a, b in _pairs(contents):
                     two |= 1 << (a + b)
             self.gives[room] = one, two
         return self.gives[room]
 
-    def contents(self, k: int) -> tuple[int, ...]:
-        return tuple(sorted(self.lengths[i] for i in self.bins[k]))
-
-    def exchange(self, poor: int) -> bool:
-        """The exchange of ``poor`` (taken out) with another bin that raises the squared fill most."""
-        mine, size = self.bins[poor], self.lengths
-        give = {size[i]: (i,) for i in mine}
-        for a, b in combinations(mine, 2):
-            give.setdefault(size[a] + size[b], (a, b))
-        best: tuple[int, int, int, tuple[int, ...]] | None = None
+    def exchange(self, poor: Contents) -> Contents | None:
+        """Make the exchange of ``poor`` with another bin that raises the squared fill most; what poor bins then hold."""
+        n_poor = self.count[poor]
+        self.drop(poor, 1)  # a bin is no partner of itself
+        fill, give = sum(poor), {a: (a,) for a in poor}
+        for a, b in _pairs(poor):
+            give.setdefault(a + b, (a, b))
+        best: tuple[int, int, int, Contents] | None = None
         for room in self.by_room:
             one, two = self.masks(room)
-            for n, out in give.items():
+            for size, out in give.items():
                 back = one | two if len(out) == 1 else one
-                low = max(0, n - room)
-                if not (open_ := (back >> low) & ((1 << (n - low)) - 1)):
+                low = max(0, size - room)
+                if not (open_ := (back >> low) & ((1 << (size - low)) - 1)):
                     continue
-                gain = n - low - (open_ & -open_).bit_length() + 1  # least taken back, most gained
-                rise = gain * (self.capacity - room - self.fill[poor] + gain)
+                gain = size - low - (open_ & -open_).bit_length() + 1  # least taken back, most gained
+                rise = gain * (self.capacity - room - fill + gain)
                 if rise > 0 and (best is None or rise > best[0]):
-                    best = rise, room, n - gain, out
-        if best is None:
-            return False
-        _, room, m, out = best
-        for other in sorted(self.by_room[room]):
-            theirs = self.bins[other]
-            back = () if m == 0 else next(((j,) for j in theirs if size[j] == m), None)
-            if back is None and len(out) == 1:
-                back = next((p for p in combinations(theirs, 2) if size[p[0]] + size[p[1]] == m), None)
-            if back is not None:
-                break
-        self.take(other)
-        self.bins[poor] = [i for i in mine if i not in out] + list(back)
-        self.bins[other] = [i for i in theirs if i not in back] + list(out)
-        gain = sum(size[i] for i in out) - m
-        self.fill[poor] -= gain
-        self.fill[other] += gain
-        self.put(other)
-        return True
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Empty underfull bins by exchanges, the least filled first; keeps every item.
-
-    Ends when the bins are as few as the tokens allow, or when no underfull bin has an
-    exchange left. Bins of equal contents that cannot be helped are tried once.
-    """
-    state = _Rooms([list(b) for b in bins], lengths, capacity)
-    fewest, left = -(-sum(lengths) // capacity), len(bins)
-    stuck: set[tuple[int, ...]] = set()
-    while left > fewest:
-        poor = next((k for room in sorted(state.by_room, reverse=True) for k in sorted(state.by_room[room]) if state.contents(k) not in stuck), None)
-        if poor is None:
-            break
-        state.take(poor)
+                    best = rise, room, size - gain, out
+        partner = None if best is None else self._holder(best[1], best[2], len(best[3]) == 1)
+        self.add(poor, 1)
+        if partner is None:
+            return None
+        other, back = partner
+        out = best[3]
+        n = n_poor // 2 if other == poor else min(n_poor, self.count[other])
+        self.drop(poor, n)
+        self.drop(other, n)
+        left = _held((Counter(poor) - Counter(out) + Counter(back)).elements())
+        self.add(left, n)
+        self.add(_held((Counter(other) - Counter(back) + Counter(out)).elements()), n)
+        return left
+
+    def _holder(self, room: int, size: int, two: bool) -> tuple[Contents, Contents] | None:
+        """A bin with ``room`` that can give back ``size`` in one item or, if ``two``, in two."""
+        for contents in sorted(self.by_room[room]):
+            if size == 0 or size in contents:
+                return contents, (size,) if size else ()
+            if two and (pair := next((p for p in _pairs(contents) if sum(p) == size), None)):
+                return contents, pair
+        return None
+
+
+def _searched(bins: Counter[Contents], capacity: int) -> Counter[Contents]:
+    state, moved = _Classes(bins, capacity), True
+    while moved:
         moved = False
-        while state.bins[poor] and state.exchange(poor):
-            moved = True
-        if moved:
-            stuck.clear()
-        if state.bins[poor]:
-            stuck.add(state.contents(poor))
-            state.put(poor)
-        else:
-            left -= 1
-    return [b for b in state.bins if b]
-
-
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of item numbers; whole sequences stand alone and are not searched."""
-    full = [[i] for i, n in enumerate(lengths) if n == capacity]
-    rest = [i for i, n in enumerate(lengths) if n < capacity]
-    own = [lengths[i] for i in rest]
-    return full + [[rest[i] for i in b] for b in local_search(best_fit(own, capacity), own, capacity)]
-
-
-def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces with sequence_id and offset (their place there, without gaps)."""
-    groups = max(1, -(-found.count() // group_pieces))
-    dealt = found.withColumn("group", F.pmod(F.xxhash64("key", "piece", "ids_crc32", "length"), F.lit(groups)))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("key", "ascending"), ("piece", "ascending")])
-        lengths = table.column("length").to_pylist()
-        group = table.column("group")[0].as_py()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for k, b in enumerate(pack_lengths(lengths, capacity)):
-            at = 0
-            for i in b:
-                sequence[i], offset[i] = group << 32 | k, at
-                at += lengths[i]
-        return table.drop(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    kind = found.schema["key"].dataType.simpleString()
-    return dealt.groupBy("group").applyInArrow(run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+        for room in sorted(state.by_room, reverse=True):
+            for poor in sorted(state.by_room.get(room, ())):
+                while state.count.get(poor) and (left := state.exchange(poor)) is not None:
+                    poor, moved = left, True
+    return state.full + state.count
+
+
+def local_search(bins: Counter[Contents], capacity: int = CAPACITY) -> Counter[Contents]:
+    """Empty underfull bins by exchanges, the least filled first, until no bin has one left; keeps every item.
+
+    Counts are taken digit by digit (base ``BASE``): what holds for so many bins of each
+    class holds for any multiple, so the work grows with the classes and the digits.
+    """
+    out: Counter[Contents] = Counter()
+    times = 1
+    while left := {c: n for c, n in bins.items() if n // times}:
+        digit = Counter({c: n // times % BASE for c, n in left.items() if n // times % BASE})
+        for contents, n in _searched(digit, capacity).items():
+            out[contents] += n * times
+        times *= BASE
+    return out
+
+
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> Counter[Contents]:
+    """Bins by contents for so many pieces of each length: of three starts the one that ends with the fewest."""
+    falling = sorted(counts, reverse=True)
+    dealt = random.Random(SEED).sample(falling, len(falling))
+    return min((local_search(best_fit(counts, order, capacity), capacity) for order in (falling, dealt, falling[::-1])), key=Counter.total)
+
+
+def plan_rows(bins: Counter[Contents]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, from, upto, each, base, at): ranks from..upto of a length go ``each`` to a sequence, from ``base`` on, at offset ``at``."""
+    used: Counter[int] = Counter()
+    rows, base = [], 0
+    for contents, n in sorted(bins.items()):
+        at = 0
+        for size, each in sorted(Counter(contents).items(), reverse=True):
+            rows.append((size, used[size], used[size] + n * each, each, base, at))
+            used[size] += n * each
+            at += size * each
+        base += n
+    return rows
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces (a written table) with sequence_id and offset (their place there, without gaps)."""
+    spark = found.sparkSession
+    by_task = found.groupBy("task", "length").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = plan_rows(pack_counts(counts, capacity))
+    plan = spark.createDataFrame(rows, "p_length bigint, from bigint, upto bigint, each bigint, base bigint, at bigint")
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = found.join(firsts, ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
+    mine = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto"))
+    into = F.col("rank") - F.col("from")
+    placed = ranked.join(F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan, mine)
+    sequence, offset = F.col("base") + F.floor(into / F.col("each")), F.col("at") + F.col("length") * (into % F.col("each"))
+    return placed.select("key", "piece", "start", "length", "ids_crc32", sequence.cast("bigint").alias("sequence_id"), offset.cast("bigint").alias("offset"))
 
 
 def best_fit_packing(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

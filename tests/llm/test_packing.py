@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,12 +12,11 @@ from tokenizers import Tokenizer
 
 def whole_ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_ids_by_word_are_the_tokenizers(odd_rows):
-    texts = [t for _, t in odd_rows] + ["don't we're 'tis it's  two\n\nlines\t tab", "a\n b \n", "²x Ⅷ x² naïve— “quoted” 3.14 foo123 bar_baz!! end.", " lead", "trail ", "it' 's 's's", "é combining", "x\xa0y", "<|endoftext|>", "a's!", "l'été, où?", "\r\n"]
+    texts = [t for _, t in odd_rows] + ["don't we're 'tis it's  two\n\nlines\t tab", "a\n b \n", "²x Ⅷ x² naïve— “quoted” 3.14 foo123 bar_baz!! end.", " lead", "trail ", "it' 's 's's", "é combining", "x\xa0y", "<|endoftext|>", "<|endoftext|> hi", "some <|endoftext|>glued<|endoftext|> words", "<|endoftext|", "a's!", "l'été, où?", "\r\n"]
     rng = random.Random(2)
     texts += ["".join(rng.choice("aB é.,!'\n 1²\t_-") for _ in range(60)) for _ in range(300)]
     texts += [" ".join("".join(rng.choice("abcdeéßñтоق語") for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", "_", "...", "\u0301"]) for _ in range(900)) for _ in range(3)]
@@ -71,22 +71,60 @@ def fewest_bins(lengths, capacity):
     return best
 
 
+def held(bins):
+    out = Counter()
+    for contents, n in bins.items():
+        for size in contents:
+            out[size] += n
+    return out
+
+
 def test_local_search_empties_bins():
-    # best fit by falling length needs 3 bins for what two hold
-    lengths = [6, 5, 4, 4, 3, 3, 3, 2]
-    worse = [[0, 1], [2, 3, 4], [5, 6, 7]]
-    got = packing.local_search(worse, lengths, 15)
-    assert len(got) == 2 and sorted(i for b in got for i in b) == list(range(8))
+    # three bins whose contents two can hold
+    got = packing.local_search(Counter([(6, 5), (4, 4, 3), (3, 3, 2)]), 15)
+    assert got.total() == 2 and held(got) == Counter([6, 5, 4, 4, 3, 3, 3, 2])
     rng, over = random.Random(1), 0
     for _ in range(150):
         lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
-        got = packing.pack_lengths(lengths, 20)
-        assert sorted(i for b in got for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 20 for b in got)
-        over += len(got) - fewest_bins(lengths, 20)
-    assert over <= 3
+        got = packing.pack_counts(Counter(lengths), 20)
+        assert held(got) == Counter(lengths) and all(sum(c) <= 20 for c in got)
+        over += got.total() - fewest_bins(lengths, 20)
+    assert over <= 1
 
 
-def test_large_group_is_near_the_bound():
+def test_search_needs_fewer_sequences_than_best_fit():
     rng = random.Random(9)
-    lengths = [rng.randint(1, 1024) for _ in range(4000)]
-    assert len(packing.pack_lengths(lengths)) <= -(-sum(lengths) // 1024) * 1.04 + 1
+    counts = Counter(rng.randint(200, 500) for _ in range(4000))
+    falling = packing.best_fit(counts, sorted(counts, reverse=True))
+    got = packing.pack_counts(counts)
+    assert held(falling) == held(got) == counts and got.total() < 0.97 * falling.total()
+    # a class counts as one however many bins it stands for
+    many = packing.pack_counts({k: n * 1000 for k, n in counts.items()})
+    assert held(many) == Counter({k: n * 1000 for k, n in counts.items()}) and many.total() <= 1000 * 1.01 * got.total()
+
+
+def test_best_fit_by_class_is_best_fit_by_piece():
+    def one_by_one(lengths, capacity):
+        bins = []
+        for n in lengths:
+            fits = [b for b in bins if sum(b) + n <= capacity]
+            if fits:
+                max(fits, key=sum).append(n)
+            else:
+                bins.append([n])
+        return Counter(sum(b) for b in bins)
+
+    rng = random.Random(4)
+    for _ in range(50):
+        counts = Counter(rng.randint(1, 30) for _ in range(80))
+        order = sorted(counts, reverse=True)
+        got = Counter()
+        for contents, n in packing.best_fit(counts, order, 40).items():
+            got[sum(contents)] += n
+        assert got == one_by_one([k for k in order for _ in range(counts[k])], 40)
+
+
+def test_rows_that_repeat_one_id_and_text_are_packed_apart(docs):
+    got = packing.best_fit_packing(docs([(7, "one two three " * 40)] * 300)).collect()
+    places = Counter((r.sequence_id, r.offset) for r in got)
+    assert len(got) == 300 and max(places.values()) == 1
