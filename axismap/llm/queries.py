@@ -32,8 +32,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of every conversation with its recovered role, rendered."""
-    return chat.recover(read(spark, sf_dir, "conversations"))
+    """Every conversation written out as a plain transcript and parsed back into turns, rendered."""
+    return chat.recover(chat.as_transcripts(read(spark, sf_dir, "conversations")))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Language ID, quality and chat: held-out accuracy, plain re-computation, odd rows."""
+"""Language ID and quality: held-out accuracy, plain re-computation, odd rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 import zlib
 
 import numpy as np
-from axismap.llm import chat, langid, quality
+from axismap.llm import langid, quality
 from helpers import DATA
 
 
@@ -82,54 +82,3 @@ def test_scoring_by_word_equals_the_averaged_embedding():
         mean = (weights[at] * n).sum() / max(1, n.sum())
         assert abs(s(t) - 1 / (1 + np.exp(-(mean + bias)))) < 1e-9
     assert s("good words") > 0.5 > s("BAD!! BAD!!") and rng
-
-
-def test_viterbi_is_the_best_path():
-    from itertools import product
-
-    rng = random.Random(6)
-    n = len(chat.ROLES)
-    for _ in range(30):
-        hmm = chat.Hmm(np.log(np.random.default_rng(1).dirichlet([1] * n)), np.log(np.random.default_rng(rng.randint(0, 99)).dirichlet([1] * n, n)), {})
-        seen = [chat.observe(rng.choice(["User: hi", "Assistant: x", "plain", "- a\n- b", "why?", None]), k == 0) for k in range(5)]
-        score = lambda p: hmm.start[p[0]] + sum(hmm.scores(s)[r] for s, r in zip(seen, p, strict=True)) + sum(hmm.follow[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
-        path = chat.viterbi(hmm, seen, None)
-        assert abs(score(path) - max(score(p) for p in product(range(n), repeat=5))) < 1e-9
-        total = chat.summed(hmm, seen[:2], True)[0][:, None] + chat.summed(hmm, seen[2:], False)
-        assert abs(total.max() - score(path)) < 1e-9
-
-
-def test_roles_of_the_corpus_and_of_crossing_conversations(spark):
-    conv = spark.read.parquet(f"{DATA}/conversations.parquet")
-    truth = {(r.conv_id, r.turn): r.role for r in conv.collect()}
-    got = chat.recover(conv).collect()
-    out = [r for r in got if r.held_out]
-    assert len(got) == len(truth) and sum(truth[r.conv_id, r.turn] == r.role_pred for r in out) >= 0.8 * len(out)
-    # one conversation over all partitions decodes as one chain
-    one = conv.selectExpr("0 AS conv_id", "conv_id * 100 + turn AS turn", "role", "text")
-    rows = {r.turn: r.role_pred for r in chat.recover(one, modulus=1 << 30).collect()}
-    blocks = chat._with_held_out(chat._blocks(one, "conv_id", "turn", "role", "text"), 1 << 30, 2)
-    hmm = chat.fit(blocks, chat._tell_ends(blocks))
-    ordered = sorted((r.turn, r.text) for r in one.collect())
-    path = chat.viterbi(hmm, [chat.observe(t, k == 0) for k, (_, t) in enumerate(ordered)], None)
-    assert [rows[k] for k, _ in ordered] == [chat.ROLES[p] for p in path]
-
-
-def test_chat_of_odd_rows(spark):
-    rows = [(1, 0, "user", None), (1, 1, None, ""), (1, 1, "user", "x"), (1, None, "tool", "y"), (None, 3, "assistant", "Assistant: hi"), (2, 0, "user", "User: q?"), (2, 0, "user", "User: q?")]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, tag string")
-    got = chat.recover(df).collect()
-    assert len(got) == len(rows)
-    assert {r.rendered for r in got if r.conv_id == 2} == {"<|im_start|>user\nq?<|im_end|>\n"}
-    assert [r.role_pred for r in got if r.conv_id is None] == ["assistant"]
-    assert chat.recover(df.limit(0)).count() == 0
-
-
-def test_transcripts(spark, docs):
-    conv = spark.read.parquet(f"{DATA}/conversations.parquet")
-    blocks = chat._with_held_out(chat._blocks(conv, "conv_id", "turn", "role", "text"), 4, 2)
-    hmm = chat.fit(blocks, chat._tell_ends(blocks))
-    text = "System: be kind\n\nHuman: what is it?\nsecond line\n\nAI: this\n\n### User\nmore?\n\n**Assistant:** ok"
-    got = [(r.turn, r.role_pred) for r in chat.parse_transcripts(docs([(1, text), (2, None), (3, "")]), hmm).collect()]
-    assert got == [(0, "system"), (1, "user"), (2, "assistant"), (3, "user"), (4, "assistant")]
-    assert chat.render("user", "Human: what is it?\nsecond line") == "<|im_start|>user\nwhat is it?\nsecond line<|im_end|>\n"
