@@ -8,30 +8,32 @@ the same gram at the same place, so only occurrences of one gram need to be comp
 1. Documents are packed into compressed blocks (a written table, so that later
    rounds meet the same blocks). Each block sends the distinct hashes of its anchors.
 2. A hash that occurs twice is contested, and hot beyond ``HOT`` occurrences. Blocks
-   are told, and send each contested anchor's context: the bytes of all windows that
-   chose it, one per distinct context of the block. For a hot hash each window goes
-   alone, by its own hash, so that a passage held by a third of all documents is dealt
-   over all tasks.
-3. A task takes equal contexts together, and builds the suffix array of those that
-   differ by two-stage sorting: suffixes smaller than their successors are sorted
-   directly, the rest follow from scans of the buckets. Adjacent common prefixes of
-   ``LENGTH`` bytes or more mark equal windows; the earliest stays.
-4. Blocks get a bit per window and cut their documents.
+   are told, and build the suffix array of their own contested windows: of equal ones
+   the earliest stays, the others are gone before anything is sent (a combine on the
+   sending side). Of what stays, each run of windows with one anchor is sent as a
+   context. For a hot hash each window goes alone, by its own hash, so that a passage
+   held by a third of all documents is dealt over all tasks, once per block.
+3. A task builds the suffix array of all contexts of one hash in the same way.
+4. Blocks get the windows that are gone and cut their documents.
+
+Suffix arrays come from two-stage sorting: suffixes smaller than their successors are
+sorted directly, the rest follow from scans of the buckets. Adjacent common prefixes of
+``LENGTH`` bytes or more mark equal windows; nothing else does.
 
 What moves: about a ninth of the text's bytes as hashes, twice the compressed blocks,
-and the contexts of contested anchors. Nothing is collected or broadcast.
-
-Defined results: null and empty texts have no bytes and lose none, as do texts under
-``LENGTH`` bytes; a null id comes after all others; rows with one id are ordered by
-the digest of their text, then by place in the input, so of repeated rows one keeps
-its bytes; an empty table gives an empty result; other columns, whatever their names,
-pass through ``remove_repeats``.
+and the contexts of contested anchors. Nothing is collected or broadcast. A block is at
+least one text, so memory is bounded by ``BLOCK_BYTES`` or the longest text.
+
+Defined results: ids are whole numbers (others are refused at once); null and empty texts
+have no bytes and lose none, as do texts under ``LENGTH`` bytes; a null id comes after all
+others; rows with one id are ordered by the digest of their text, then by place in the
+input, so of repeated rows one keeps its bytes; an empty table gives an empty result;
+other columns, whatever their names, pass through ``remove_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +44,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axismap.llm.tables import stash
 
@@ -51,10 +54,10 @@ BLOCK_BYTES = 2 << 20
 CHUNK = 1 << 20
 HOT = 1024
 SORT_BYTES = 1 << 20
-ANCHORS_PER_TASK = 3 << 20
+TASK_BYTES = 8 << 20
 _PLACE = np.uint64(CHUNK - 1)
 _BYTE_HASH = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
-_ENTRY = np.dtype([("key", "<u8"), ("late", "u1"), ("doc", "<i8"), ("tie", "<u8"), ("at", "<i8"), ("row", "<i4"), ("windows", "<i4")])
+_ENTRY = np.dtype([("key", "<u8"), ("late", "u1"), ("doc", "<i8"), ("tie", "<u8"), ("at", "<i8"), ("row", "<i4"), ("lo", "<i8"), ("windows", "<i4")])
 
 
 # --- suffix arrays -------------------------------------------------------------
@@ -117,29 +120,57 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
     return out
 
 
+def repeats(text: np.ndarray, wanted: np.ndarray, rank: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """By place, whether the wanted window that starts there equals one of smaller rank."""
+    gone = np.zeros(len(text), bool)
+    order = suffix_order(text, wanted)
+    if not len(order):
+        return gone
+    cuts = np.flatnonzero(common_prefixes(text, order) < LENGTH)
+    sizes = np.diff(np.r_[cuts, len(order)])
+    several = np.repeat(sizes > 1, sizes)
+    ranks = rank(order[several])
+    heads = np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1]
+    if len(heads):
+        gone[order[several]] = ranks != np.repeat(np.minimum.reduceat(ranks, heads), sizes[sizes > 1])
+    return gone
+
+
 def repeated_windows(contexts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """For each context, which of its windows some context of smaller rank has too."""
     text = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts])
     starts = np.cumsum(sizes) - sizes
-    wanted = np.zeros(len(text), bool)
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        wanted[s : s + n - LENGTH + 1] = True
-    order = suffix_order(text, wanted)
-    equal = common_prefixes(text, order) >= LENGTH
-    owner = np.searchsorted(starts, order, side="right") - 1
-    cuts = np.flatnonzero(~equal)
-    least = np.repeat(np.minimum.reduceat(rank[owner], cuts), np.diff(np.r_[cuts, len(order)]))
-    gone = np.zeros(len(text), bool)
-    gone[order] = rank[owner] != least
+    wanted = _marked(len(text), starts, sizes - LENGTH + 1)
+    gone = repeats(text, wanted, lambda at: rank[np.searchsorted(starts, at, side="right") - 1])
     return [gone[s : s + n - LENGTH + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def _marked(n: int, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """By place, whether one of the intervals covers it."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + widths, n), -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _runs(mask: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, width) of the runs of set places (of one label)."""
+    at = np.flatnonzero(mask)
+    if not len(at):
+        return at, at
+    new = np.r_[True, np.diff(at) != 1]
+    if label is not None:
+        new[1:] |= label[at[1:]] != label[at[:-1]]
+    first = np.flatnonzero(new)
+    return at[first], np.diff(np.r_[first, len(at)])
+
+
 # --- blocks and anchors ----------------------------------------------------------
 
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
-    """(block, body): rows of ``docs`` as compressed Arrow slices of about BLOCK_BYTES."""
+    """(block, size, body): rows of ``docs`` as compressed Arrow slices of about BLOCK_BYTES of text."""
 
     def run(batches):
         task, made, squeeze = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
@@ -151,14 +182,15 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([c.take(pa.array(range(at, upto), pa.int64())) for c in b.columns], schema=b.schema))
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["block", "body"])
+                own = int(size[upto - 1] - (size[at - 1] if at else 0))
+                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([own], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["block", "size", "body"])
                 made, at = made + 1, upto
 
-    return docs.mapInArrow(run, "block bigint, body binary")
+    return docs.mapInArrow(run, "block bigint, size bigint, body binary")
 
 
 class Block:
-    """The rows of a block, their bytes end to end, and the anchors of all windows."""
+    """The rows of a block and their bytes end to end; once found, the anchors of all windows."""
 
     def __init__(self, body: bytes) -> None:
         self.rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_all().combine_chunks()
@@ -167,13 +199,18 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.raw = b"".join(raw)
         self.text = np.frombuffer(self.raw, np.uint8)
+
+    def find_ranks(self) -> None:
+        """What orders the rows: late (no id), doc, tie (digest), and their rank within the block."""
         keys = self.rows.column("key").to_pylist()
         self.late = np.array([k is None for k in keys], np.uint8)
         self.doc = np.array([k or 0 for k in keys], np.int64)
-        self.tie = np.array([int.from_bytes(hashlib.sha256(x).digest()[:8], "big") for x in raw], np.uint64)
-        self._find_anchors()
+        ends = (self.starts + self.sizes).tolist()
+        self.tie = np.array([int.from_bytes(hashlib.sha256(self.raw[a:b]).digest()[:8], "big") for a, b in zip(self.starts.tolist(), ends, strict=True)], np.uint64)
+        self.rank = np.empty(len(self.doc), np.int64)
+        self.rank[np.lexsort((np.arange(len(self.doc)), self.tie, self.doc, self.late))] = np.arange(len(self.doc))
 
-    def _find_anchors(self) -> None:
+    def find_anchors(self) -> None:
         """anchor, lo, hi (first and last window start) and key of each anchor, by place."""
         anchors, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         grams = [np.zeros(0, np.uint64)]
@@ -212,13 +249,13 @@ class Block:
         self.row = np.searchsorted(self.starts + self.sizes, self.lo, side="right")
 
     def keys_by_task(self, tasks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(task, sorted distinct keys, occurrences up to 255) of this block's anchors."""
+        """(task, sorted distinct keys, occurrences) of this block's anchors."""
         key, n = np.unique(self.key, return_counts=True)
         task = (key % np.uint64(tasks)).astype(np.int64)
         order = np.argsort(task, kind="stable")
         found, first = np.unique(task[order], return_index=True)
         for t, part in zip(found.tolist(), np.split(order, first[1:]), strict=True):
-            yield t, key[part], np.minimum(n[part], 255).astype(np.uint8)
+            yield t, key[part], n[part].astype(np.uint32)
 
     def states(self, tasks: int, told: dict[int, bytes]) -> np.ndarray:
         """By anchor: 0 alone, 1 contested, 2 hot, as the tasks have told."""
@@ -236,57 +273,38 @@ class Block:
         at = np.minimum(np.searchsorted(keys, self.key), len(keys) - 1)
         return np.where(keys[at] == self.key, marks[at], 0).astype(np.uint8)
 
-    def contexts(self, tasks: int, told: dict[int, bytes]) -> tuple[dict[int, list[tuple]], np.ndarray]:
-        """What to send to each task, and the windows that an earlier one here repeats.
-
-        An item is (key, row, first window, windows, context); of equal contexts of the
-        block only the earliest is sent, and all windows of the others are gone.
-        """
-        gone = np.zeros(len(self.text), bool)
+    def contexts(self, tasks: int, told: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(entries of the contexts to send, by place the windows that an earlier one here equals)."""
         state = self.states(tasks, told)
-        rank = np.empty(len(self.doc), np.int64)
-        rank[np.lexsort((np.arange(len(self.doc)), self.tie, self.doc, self.late))] = np.arange(len(self.doc))
-        items: dict[bytes, tuple] = {}
-        hashed = xxhash.xxh64_intdigest
-
-        def offer(key: int, row: int, lo: int, n: int, body: bytes) -> None:
-            old = items.get(body)
-            new = (key, row, lo, n, body)
-            if old is None:
-                items[body] = new
-                return
-            keep, drop = (old, new) if (rank[old[1]], old[2]) <= (rank[row], lo) else (new, old)
-            items[body] = keep
-            gone[drop[2] : drop[2] + drop[3]] = True
-
         busy = np.flatnonzero(state)
-        for key, row, lo, hi, hot in zip(self.key[busy].tolist(), self.row[busy].tolist(), self.lo[busy].tolist(), self.hi[busy].tolist(), (state[busy] == 2).tolist(), strict=True):
-            if hot:
-                for s in range(lo, hi + 1):
-                    body = self.raw[s : s + LENGTH]
-                    offer(hashed(body, GRAM), row, s, 1, body)
-            else:
-                offer(key, row, lo, hi - lo + 1, self.raw[lo : hi + LENGTH])
-        out: dict[int, list[tuple]] = defaultdict(list)
-        for item in items.values():
-            out[item[0] % tasks].append(item)
-        return out, gone
+        wanted = _marked(len(self.text), self.lo[busy], self.hi[busy] - self.lo[busy] + 1)
+        row_of = lambda at: np.searchsorted(self.starts + self.sizes, at, side="right")
+        gone = repeats(self.text, wanted, lambda at: self.rank[row_of(at)] << 40 | at)
+        anchor = np.repeat(np.arange(len(self.lo)), self.hi - self.lo + 1)  # by window, which stand in order of place
+        of_place = np.full(len(self.text) + 1, -1, np.int64)
+        of_place[_marked(len(self.text) + 1, self.lo, self.hi - self.lo + 1)] = anchor
+        stays = wanted & ~gone
+        hot = np.zeros(len(self.text), bool)
+        hot[stays] = state[of_place[:-1][stays]] == 2
+        lo, n = _runs(stays & ~hot, of_place)
+        alone = np.flatnonzero(hot)
+        hashed = xxhash.xxh64_intdigest
+        entries = np.zeros(len(lo) + len(alone), _ENTRY)
+        entries["lo"], entries["windows"] = np.r_[lo, alone], np.r_[n, np.ones(len(alone), np.int64)]
+        entries["key"] = np.r_[self.key[of_place[lo]], np.array([hashed(self.raw[s : s + LENGTH], GRAM) for s in alone.tolist()], np.uint64)]
+        row = row_of(entries["lo"])
+        entries["row"], entries["at"] = row, entries["lo"] - self.starts[row]
+        entries["late"], entries["doc"], entries["tie"] = self.late[row], self.doc[row], self.tie[row]
+        return entries, gone
 
 
 def judge(entries: np.ndarray, contexts: list[bytes], block: np.ndarray) -> list[np.ndarray]:
-    """For each entry, which of its windows an earlier entry of the task has too."""
+    """For each entry, which of its windows an earlier entry with its hash has too."""
     rank = np.empty(len(entries), np.int64)
     rank[np.lexsort((entries["at"], entries["row"], block, entries["tie"], entries["doc"], entries["late"]))] = np.arange(len(entries))
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(entries)
-    groups: dict[int, dict[bytes, int]] = defaultdict(dict)
-    ranks, windows = rank.tolist(), entries["windows"].tolist()
-    for k, (key, body) in enumerate(zip(entries["key"].tolist(), contexts, strict=True)):
-        group = groups[key]
-        old = group.setdefault(body, k)
-        if old != k:
-            keep, drop = (old, k) if ranks[old] < ranks[k] else (k, old)
-            group[body] = keep
-            out[drop] = np.ones(windows[drop], bool)
+    out = [np.zeros(n, bool) for n in entries["windows"].tolist()]
+    by_key = np.argsort(entries["key"], kind="stable")
+    groups = np.split(by_key, np.flatnonzero(np.diff(entries["key"][by_key])) + 1) if len(by_key) else []
     batch: list[int] = []
     size = 0
 
@@ -295,13 +313,11 @@ def judge(entries: np.ndarray, contexts: list[bytes], block: np.ndarray) -> list
             out[k] = gone
         batch.clear()
 
-    for group in groups.values():
-        kept = list(group.values())
-        if len(kept) == 1:
-            out[kept[0]] = np.zeros(windows[kept[0]], bool)
+    for group in groups:
+        if len(group) == 1:
             continue
-        batch += kept
-        size += sum(len(contexts[k]) for k in kept)
+        batch += group.tolist()
+        size += sum(len(contexts[k]) for k in group.tolist())
         if size >= SORT_BYTES:
             flush()
             size = 0
@@ -318,7 +334,9 @@ def _contested(blocks: DataFrame, tasks: int) -> DataFrame:
     def send(batches):
         for b in batches:
             for number, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sent = list(Block(body).keys_by_task(tasks))
+                block = Block(body)
+                block.find_anchors()
+                sent = list(block.keys_by_task(tasks))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number] * len(sent), pa.int64()), pa.array([t for t, _, _ in sent], pa.int64()), pa.array([k.tobytes() for _, k, _ in sent], pa.binary()), pa.array([n.tobytes() for _, _, n in sent], pa.binary())],
                     ["block", "task", "keys", "n"],
@@ -326,7 +344,7 @@ def _contested(blocks: DataFrame, tasks: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("n").to_pylist()]).astype(np.int64)
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=n)[at]
         marks = np.split(((total > 1) + (total > HOT).astype(np.uint8)).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
@@ -335,7 +353,7 @@ def _contested(blocks: DataFrame, tasks: int) -> DataFrame:
         kept = table.filter(pa.array(some)).select(["block", "task"])
         return kept.append_column("marks", pa.array([squeeze.compress(m.tobytes()) for m, s in zip(marks, some, strict=True) if s], pa.binary()))
 
-    return blocks.mapInArrow(send, "block bigint, task bigint, keys binary, n binary").groupBy("task").applyInArrow(meet, "block bigint, task bigint, marks binary")
+    return blocks.select("block", "body").mapInArrow(send, "block bigint, task bigint, keys binary, n binary").groupBy("task").applyInArrow(meet, "block bigint, task bigint, marks binary")
 
 
 def _told(pairs: list[dict]) -> dict[int, bytes]:
@@ -343,8 +361,13 @@ def _told(pairs: list[dict]) -> dict[int, bytes]:
     return {p["task"]: unpack.decompress(p["marks"]) for p in pairs or []}
 
 
+def _pairs(mask: np.ndarray, offset: np.ndarray | int = 0) -> bytes:
+    lo, n = _runs(mask)
+    return np.stack([lo + offset, n], 1).astype("<i8").tobytes()
+
+
 def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
-    """(block, task, gone): a bit per window that a block sent to a task."""
+    """(block, gone): runs (start, width) of windows that are gone, several rows a block."""
     joined = blocks.join(marks.groupBy("block").agg(F.collect_list(F.struct("task", "marks")).alias("told")), "block")
 
     def send(batches):
@@ -352,19 +375,24 @@ def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
         for b in batches:
             for number, body, told in zip(*(b.column(c).to_pylist() for c in ("block", "body", "told")), strict=True):
                 block = Block(body)
-                sent, _ = block.contexts(tasks, _told(told))
-                names, blobs = [], []
-                for task, items in sent.items():
-                    e = np.zeros(len(items), _ENTRY)
-                    rows = np.array([i[1] for i in items])
-                    e["key"], e["row"], e["windows"] = [i[0] for i in items], rows, [i[3] for i in items]
-                    e["late"], e["doc"], e["tie"] = block.late[rows], block.doc[rows], block.tie[rows]
-                    e["at"] = np.array([i[2] for i in items]) - block.starts[rows]
-                    names.append(task)
-                    blobs.append(squeeze.compress(len(items).to_bytes(8, "little") + e.tobytes() + b"".join(i[4] for i in items)))
+                block.find_ranks()
+                block.find_anchors()
+                entries, gone = block.contexts(tasks, _told(told))
+                # what the block settled by itself passes through, by a task number below zero
+                names, blobs = [-1 - number % tasks], [_pairs(gone)]
+                task = (entries["key"] % np.uint64(tasks)).astype(np.int64)
+                order = np.argsort(task, kind="stable")
+                found, first = np.unique(task[order], return_index=True)
+                for t, part in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+                    e = entries[part]
+                    bodies = b"".join(block.raw[s : s + n + LENGTH - 1] for s, n in zip(e["lo"].tolist(), e["windows"].tolist(), strict=True))
+                    names.append(t)
+                    blobs.append(squeeze.compress(len(e).to_bytes(8, "little") + e.tobytes() + bodies))
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["block", "task", "items"])
 
     def meet(table: pa.Table) -> pa.Table:
+        if table.column("task")[0].as_py() < 0:
+            return pa.table({"block": table.column("block"), "gone": table.column("items")})
         unpack = zstandard.ZstdDecompressor()
         entries, contexts, counts = [], [], []
         for blob in table.column("items").to_pylist():
@@ -377,52 +405,45 @@ def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
                 at += w + LENGTH - 1
             entries.append(e)
             counts.append(n)
-        gone = judge(np.concatenate(entries), contexts, np.repeat(np.array(table.column("block").to_pylist()), counts))
-        ends = np.cumsum(counts)
-        bits = [np.packbits(np.concatenate(gone[e - n : e])).tobytes() for e, n in zip(ends.tolist(), counts, strict=True)]
-        return pa.table({"block": table.column("block"), "task": table.column("task"), "gone": pa.array(bits, pa.binary())})
+        every = np.concatenate(entries)
+        gone = judge(every, contexts, np.repeat(np.array(table.column("block").to_pylist()), counts))
+        found, at = [], 0
+        for n in counts:
+            found.append(b"".join(_pairs(g, lo) for g, lo in zip(gone[at : at + n], every["lo"][at : at + n].tolist(), strict=True) if g.any()))
+            at += n
+        return pa.table({"block": table.column("block"), "gone": pa.array(found, pa.binary())})
 
-    return joined.mapInArrow(send, "block bigint, task bigint, items binary").groupBy("task").applyInArrow(meet, "block bigint, task bigint, gone binary")
+    return joined.mapInArrow(send, "block bigint, task bigint, items binary").groupBy("task").applyInArrow(meet, "block bigint, gone binary").filter("length(gone) > 0")
 
 
-def _removed(body: bytes, told: list[dict], judged: list[dict], tasks: int) -> tuple[Block, np.ndarray]:
+def _removed(body: bytes, gone: list[bytes]) -> tuple[Block, np.ndarray]:
     """A block and, by byte, whether it goes."""
     block = Block(body)
-    sent, gone = block.contexts(tasks, _told(told))
-    bits = {j["task"]: j["gone"] for j in judged or []}
-    for task, items in sent.items():
-        n = sum(i[3] for i in items)
-        marks = np.unpackbits(np.frombuffer(bits[task], np.uint8), count=n).astype(bool)
-        at = 0
-        for _, _, lo, w, _ in items:
-            gone[lo : lo + w] |= marks[at : at + w]
-            at += w
-    edge = np.zeros(len(block.text) + LENGTH + 1, np.int32)
-    starts = np.flatnonzero(gone)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
-    return block, np.cumsum(edge[: len(block.text)]) > 0
+    runs = np.frombuffer(b"".join(gone), "<i8").reshape(-1, 2)
+    return block, _marked(len(block.text), runs[:, 0], runs[:, 1] + LENGTH - 1)
 
 
 def _cut(docs: DataFrame, emit: Callable[[Block, np.ndarray], pa.RecordBatch], schema: object) -> DataFrame:
     """``docs`` (key, text and more) through all rounds; ``emit`` makes a block's result."""
     spark = docs.sparkSession
     blocks = stash(pack_blocks(docs), "suffix-blocks")
-    size = blocks.agg(F.sum(F.length("body"))).first()[0] or 0
-    # a compressed byte stands for some three of text, and those for a tenth of an anchor
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (10 * ANCHORS_PER_TASK)))
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     marks = stash(_contested(blocks, tasks), "suffix-marks")
     judged = stash(_judged(blocks, marks, tasks), "suffix-judged")
-    said = marks.select("block", F.struct("task", "marks").alias("told"), F.lit(None).cast("struct<task:bigint,gone:binary>").alias("judged"))
-    said = said.union(judged.select("block", F.lit(None).cast("struct<task:bigint,marks:binary>"), F.struct("task", "gone")))
-    said = said.groupBy("block").agg(F.collect_list("told").alias("told"), F.collect_list("judged").alias("judged"))
+    said = judged.groupBy("block").agg(F.collect_list("gone").alias("gone"))
 
     def run(batches):
         for b in batches:
-            for body, told, heard in zip(*(b.column(c).to_pylist() for c in ("body", "told", "judged")), strict=True):
-                yield emit(*_removed(body, told, heard, tasks))
+            for body, gone in zip(*(b.column(c).to_pylist() for c in ("body", "gone")), strict=True):
+                yield emit(*_removed(body, gone or []))
+
+    return blocks.select("block", "body").join(said, "block", "left").mapInArrow(run, schema)
+
 
-    return blocks.join(said, "block", "left").mapInArrow(run, schema)
+def _whole_ids(docs: DataFrame, key: str) -> None:
+    if not isinstance(docs.select(F.col(f"`{key}`")).schema[0].dataType, T.IntegralType):
+        raise TypeError(f"{key}: ids that order documents must be whole numbers")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -439,7 +460,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         cols = [pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string()])]
         return pa.RecordBatch.from_arrays([block.rows.column("key").combine_chunks(), *cols], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    _whole_ids(docs, key)
+    slim = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     return _cut(slim, emit, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -460,5 +482,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         cols = [pa.array(new, block.rows.column(f"c{k}").type) if c == text else block.rows.column(f"c{k}").combine_chunks() for k, c in enumerate(names)]
         return pa.RecordBatch.from_arrays(cols, names)
 
+    _whole_ids(docs, key)
     wide = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"), *[(F.lit(None).cast("string") if c == text else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(names)])
     return _cut(wide, emit, docs.schema)

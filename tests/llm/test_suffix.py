@@ -78,15 +78,37 @@ def test_hot_hashes_deal_single_windows():
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     block = suffix.Block(zstandard.compress(sink.getvalue()))
-    pack = zstandard.compress
+    block.find_ranks()
+    block.find_anchors()
+    starts = {s + k for s, n in zip(block.starts.tolist(), block.sizes.tolist(), strict=True) for k in range(n - suffix.LENGTH + 1)}
     for mark in (1, 2):
-        told = {t: bytes([mark]) * len(k) for t, k, _ in block.keys_by_task(5)}
-        sent, gone = block.contexts(5, told)
-        assert all(i[3] == 1 for items in sent.values() for i in items) or mark == 1
-        assert pack
-        got = {p for items in sent.values() for key, row, lo, n, body in items for p in range(lo, lo + n)} | set(np.flatnonzero(gone).tolist())
-        starts = {s + k for s, n in zip(block.starts.tolist(), block.sizes.tolist(), strict=True) for k in range(n - suffix.LENGTH + 1)}
-        assert got == starts
+        told = {t: zstandard.decompress(zstandard.compress(bytes([mark]) * len(k))) for t, k, _ in block.keys_by_task(5)}
+        entries, gone = block.contexts(5, told)
+        assert mark == 1 or set(entries["windows"].tolist()) == {1}
+        sent = [p for lo, n in zip(entries["lo"].tolist(), entries["windows"].tolist(), strict=True) for p in range(lo, lo + n)]
+        windows = {block.raw[p : p + suffix.LENGTH] for p in starts}
+        assert len(sent) == len(windows) and {block.raw[p : p + suffix.LENGTH] for p in sent} == windows
+        assert set(sent) | set(np.flatnonzero(gone).tolist()) == starts
+
+
+def test_equal_windows_are_found_by_the_suffix_array_alone():
+    rng = random.Random(2)
+    part = bytes(rng.choice(b"abcd") for _ in range(300))
+    contexts = [part, b"x" + part[:150], part, part[100:250] + b"y"]
+    got = suffix.repeated_windows(contexts, np.array([2, 0, 1, 3]))
+    order = sorted(range(4), key=[2, 0, 1, 3].__getitem__)
+    seen, want = set(), {}
+    for k in order:
+        own = [contexts[k][p : p + suffix.LENGTH] for p in range(len(contexts[k]) - suffix.LENGTH + 1)]
+        want[k] = [w in seen for w in own]
+        seen |= set(own)
+    assert [g.tolist() for g in got] == [want[k] for k in range(4)]
+
+
+def test_ids_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        suffix.report(df)
 
 
 def test_blocks_and_chunks_of_long_texts(docs, monkeypatch):
