@@ -4,35 +4,35 @@ A known word scores by its log frequency in each language; an unseen word falls
 back to the known n-grams of the greatest length that it has any of, 5 down to 1.
 
 The model is fitted on a bounded sample: about ``DOCS_PER_LANG`` whole labelled
-texts per language, drawn by a hash of the id. It is broadcast; its size is
-bounded by ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams (the most frequent).
-Scoring reads every whole text once and shuffles nothing.
+texts per language, drawn by a hash of id and text; every word and n-gram of the sample
+counts. The driver gets and broadcasts numbers only: a 64-bit hash and a count per
+language for each distinct word and n-gram. Scoring reads every whole text once and
+shuffles nothing.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0, as is
 every text when nothing is labelled; a text whose words say nothing scores evenly;
 ties go to the language that sorts first; repeated rows stay repeated; empty tables
 give empty results; a null id counts as the empty string when rows are held out.
-Columns other than id, text and (for fitting) lang are never read.
+Columns other than id, text and (for fitting) lang are never read, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import slices
+from axismap.llm.tables import slices, unused
 
 UNKNOWN = "und"
 DOCS_PER_LANG = 2000
-MAX_WORDS, MAX_GRAMS = 100_000, 100_000
 LONGEST = 5
-MIN_WORD_COUNT, MIN_GRAM_COUNT = 2, 3
+HASH_SEED = 42
 SMOOTH = 0.5
 SURE_WORDS = 20
 MEMO = 100_000
@@ -53,30 +53,48 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x.encode(), HASH_SEED)
+
+
 class Model:
-    """Log frequencies by language: words and n-grams name rows of one matrix."""
+    """Log frequencies by language; words and n-grams are told by their hashes.
 
-    def __init__(self, langs: list[str], word_counts: dict[str, list[int]], gram_counts: dict[str, list[int]]) -> None:
-        self.langs = langs
-        by_length: dict[int, dict[str, list[int]]] = defaultdict(dict)
-        for g, c in gram_counts.items():
-            by_length[len(g)][g] = c
-        parts = [word_counts, *by_length.values()]
-        self.words = {w: k for k, w in enumerate(word_counts)}
-        self.grams = {g: k + len(self.words) for k, g in enumerate(g for t in parts[1:] for g in t)}
-        self.logs = np.concatenate([self._logs(t) for t in parts if t] or [np.zeros((0, len(langs)), np.float32)])
+    ``tables`` are (hashes, counts by language), of the words (length 0) and of the
+    n-grams of each length.
+    """
 
-    @staticmethod
-    def _logs(table: dict[str, list[int]]) -> np.ndarray:
-        n = np.array(list(table.values()), np.float64)
-        return np.log((n + SMOOTH) / (n.sum(0) + SMOOTH * len(n))).astype(np.float32)
+    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.langs, self.hashes, self.logs = langs, {}, {}
+        for length, (hashes, counts) in tables.items():
+            order = np.argsort(hashes)
+            n = counts[order].astype(np.float64)
+            self.hashes[length] = hashes[order]
+            self.logs[length] = np.log((n + SMOOTH) / (n.sum(0) + SMOOTH * len(n))).astype(np.float32)
+
+    @classmethod
+    def of(cls, langs: list[str], word_counts: dict[str, list[int]], gram_counts: dict[str, list[int]]) -> Model:
+        parts: dict[int, dict[str, list[int]]] = defaultdict(dict)
+        parts[0] |= word_counts
+        for g, c in gram_counts.items():
+            parts[len(g)][g] = c
+        return cls(langs, {n: (np.array([_hash(x) for x in t], np.uint64), np.array(list(t.values()), np.int64).reshape(len(t), len(langs))) for n, t in parts.items()})
+
+    def rows(self, length: int, found: list[str]) -> np.ndarray:
+        """The logs of those of ``found`` that are known, a row each."""
+        known = self.hashes.get(length)
+        if known is None or not len(known) or not found:
+            return np.zeros((0, len(self.langs)), np.float32)
+        h = np.array([_hash(x) for x in found], np.uint64)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return self.logs[length][at[known[at] == h]]
 
     def of_word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return self.logs[known]
+        if len(known := self.rows(0, [word])):
+            return known[0]
         for n in range(LONGEST, 0, -1):
-            if found := [k for g in grams(word, n) if (k := self.grams.get(g)) is not None]:
-                return self.logs[found].mean(axis=0)
+            if len(found := self.rows(n, grams(word, n))):
+                return found.mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -123,12 +141,12 @@ def _scorer(shared) -> Scorer:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """A model of the labelled rows of ``docs`` (rows without a label or text are left out)."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, {})
-    spread = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return Model([], {})
+    spread = F.pmod(F.xxhash64("key", "text", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1.0, docs_per_lang / sizes[l]))])
     sample = rows.filter(spread < share[F.col("lang")]).select("lang", "text")
 
@@ -149,17 +167,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                         seen[l, g] += c
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_word = counted.persist()
-    by_gram = by_word.mapInArrow(cut, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    by_word = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    by_gram = by_word.mapInArrow(cut, "lang string, gram string, n bigint")
 
-    def table(counts: DataFrame, name: str, least: int, most: int) -> dict[str, list[int]]:
-        each = counts.groupBy(name).agg(*[F.sum(F.when(F.col("lang") == l, F.col("n")).otherwise(0)).alias(f"l{i}") for i, l in enumerate(langs)], F.sum("n").alias("total"))
-        kept = each.filter(F.col("total") >= least).orderBy(F.desc("total"), name).limit(most).toArrow()
-        cols = [kept.column(f"l{i}").to_pylist() for i in range(len(langs))]
-        return dict(zip(kept.column(name).to_pylist(), map(list, zip(*cols, strict=True)), strict=True))
+    def table(counts: DataFrame, name: str, length: Column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        each = counts.groupBy(F.xxhash64(name).alias("h"), length.alias("length")).agg(*[F.sum(F.when(F.col("lang") == l, F.col("n")).otherwise(0)).alias(f"l{i}") for i, l in enumerate(langs)]).toArrow()
+        h, lengths = each.column("h").to_numpy().view(np.uint64), each.column("length").to_numpy()
+        n = np.stack([each.column(f"l{i}").to_numpy() for i in range(len(langs))], 1)
+        return {int(k): (h[lengths == k], n[lengths == k]) for k in np.unique(lengths)}
 
-    model = Model(langs, table(by_word, "word", MIN_WORD_COUNT, MAX_WORDS), table(by_gram, "gram", MIN_GRAM_COUNT, MAX_GRAMS))
+    model = Model(langs, table(by_word, "word", F.lit(0)) | table(by_gram, "gram", F.length("gram")))
     by_word.unpersist()
     return model
 
@@ -167,8 +184,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id) with lang_pred and score of every whole text."""
     keep = keep or [key]
-    slim = docs.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("__text").schema)
+    named = [F.col(f"`{c}`") for c in keep]
+    slim = docs.select(*named, F.col(f"`{text}`").alias(unused(keep, "text")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*named).schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -182,8 +200,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Fit on the rows that aren't held out and score all: key, held_out, lang_pred, score."""
-    model = fit(docs.filter(~held_out(F.col(key), modulus, remainder)), key, text, lang)
-    return score(docs, model, key, text).select(key, held_out(F.col(key), modulus, remainder).alias("held_out"), "lang_pred", "score")
+    model = fit(docs.filter(~held_out(F.col(f"`{key}`"), modulus, remainder)), key, text, lang)
+    return score(docs, model, key, text).select(key, held_out(F.col(f"`{key}`"), modulus, remainder).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:

@@ -2,16 +2,19 @@
 
 A document's UTF-8 bytes, zero-padded to a positive multiple of 64, become the
 8-bit samples of one logical stream (PCM, mono, 8 kHz, 8-bit). A second logical
-stream carries the unpadded length and the payload's digest. Reading verifies
+stream carries a checksum for each ``SECTION`` samples, the unpadded length and the
+payload's digest; its pages stand among those of the sound, by time. Reading verifies
 every page checksum, separates the logical streams by serial number, puts packets
-together from lacing values (over page ends too) and turns granule positions into
-timestamps.
+together from lacing values (over page ends too), turns granule positions into
+timestamps, and holds the sound against what the other stream says of it.
 
 Defined results: null and empty texts are 64 zero bytes; equal texts give equal
 containers (serial numbers come from the payload, never from the row); repeated
-rows stay repeated; an empty table gives an empty result; other columns of the
-input are ignored by the query. A container of any length is handled one row at
-a time, so memory is bounded by the longest single text.
+rows stay repeated; an empty table gives an empty result. Of a container that is damaged
+or no container, what can be counted is told (size, digest, streams, pages) and the rest
+is null; a null container has all nulls. New columns get underscores where a kept one has
+their name; other columns are ignored. A container of any length is handled one row at a
+time, so memory is bounded by the longest single text.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from axismap.llm.tables import slices
+from axismap.llm.tables import slices, unused
 
 SAMPLE_RATE = 8000
-PACKET_SAMPLES = 4096
+PACKET_SAMPLES = 5000
+SECTION = 40_000
 PAD_TO = 64
 CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -39,6 +44,8 @@ NO_GRANULE = -1
 _HEAD = struct.Struct("<4sBBqIIIB")
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 MARK = struct.Struct("<8sQ32s")
+CHECK = struct.Struct("<8sQI")
+CHECK_MAGIC = b"CHECK   "
 PCM = struct.Struct(">8sHHIIBBHI")
 
 
@@ -104,9 +111,18 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     packets = [(head, 0)]
     packets += [(payload[k : k + PACKET_SAMPLES], min(k + PACKET_SAMPLES, len(payload))) for k in range(0, len(payload), PACKET_SAMPLES)]
     sound = stream_pages(serial, packets)
-    note = stream_pages(serial ^ 1, [(NOTE_MAGIC, 0), (MARK.pack(NOTE_MAGIC, n_bytes, digest), len(payload))])
-    rest = sorted([(g, 0, k, p) for k, (g, p) in enumerate(sound[1:])] + [(g, 1, k, p) for k, (g, p) in enumerate(note[1:])], key=lambda x: (x[1], x[2]))
-    return sound[0][1] + note[0][1] + b"".join(x[3] for x in rest)
+    checks = [(CHECK.pack(CHECK_MAGIC, e := min(k + SECTION, len(payload)), zlib.crc32(payload[k:e])), e) for k in range(0, len(payload), SECTION)]
+    notes = [(NOTE_MAGIC, 0), *checks, (MARK.pack(NOTE_MAGIC, n_bytes, digest), len(payload))]
+    note = stream_pages(serial ^ 1, notes, own_page=len(notes))
+    return sound[0][1] + note[0][1] + b"".join(x[3] for x in sorted([*_timed(sound, 0), *_timed(note, 1)]))
+
+
+def _timed(pages: list[tuple[int, bytes]], stream: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Pages after the first with what orders them: the samples up to their end (a page without an end: up to the last one)."""
+    at = 0
+    for k, (granule, page) in enumerate(pages[1:]):
+        at = at if granule == NO_GRANULE else granule
+        yield at, stream, k, page
 
 
 @dataclass
@@ -183,6 +199,11 @@ def decode(data: bytes) -> dict[int, Logical]:
     return found
 
 
+def is_sound(stream: Logical) -> bool:
+    """Whether a stream starts with a PCM header."""
+    return bool(stream.packets) and len(stream.packets[0]) == PCM.size and stream.packets[0].startswith(PCM_MAGIC)
+
+
 def timestamps(stream: Logical) -> list[float | None]:
     """Seconds at which each data packet of a PCM stream ends.
 
@@ -205,15 +226,24 @@ def pad(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (max(1, -(-len(raw) // PAD_TO)) * PAD_TO - len(raw)), len(raw)
 
 
-def payload_of(streams: dict[int, Logical]) -> tuple[bytes, int]:
-    """The samples and the unpadded length; raises if they don't hold what was written."""
-    sound = next(s for s in streams.values() if s.packets and s.packets[0].startswith(PCM_MAGIC))
-    note = next(s for s in streams.values() if s.packets and s.packets[0] == NOTE_MAGIC)
+def payload_of(streams: dict[int, Logical]) -> tuple[bytes, int, Logical] | None:
+    """The samples, the unpadded length and the sound; None if they aren't what was written."""
+    sound = next((s for s in streams.values() if is_sound(s)), None)
+    note = next((s for s in streams.values() if s.packets and s.packets[0] == NOTE_MAGIC), None)
+    if not sound or not note or len(note.packets) < 2 or len(note.packets[-1]) != MARK.size:
+        return None
     payload = b"".join(sound.packets[1:])
-    _, n, digest = MARK.unpack(note.packets[1])
-    if hashlib.sha256(payload).digest() != digest or sound.granules[-1] != len(payload):
-        raise ValueError("the samples differ from what the container was made of")
-    return payload, n
+    _, n, digest = MARK.unpack(note.packets[-1])
+    at = 0
+    for packet in note.packets[1:-1]:
+        if len(packet) != CHECK.size:
+            return None
+        _, upto, crc = CHECK.unpack(packet)
+        if zlib.crc32(payload[at:upto]) != crc:
+            return None
+        at = upto
+    whole = at == len(payload) == sound.granules[-1] and hashlib.sha256(payload).digest() == digest
+    return (payload, n, sound) if whole else None
 
 
 def features(payload: bytes, sound: Logical) -> str:
@@ -229,34 +259,42 @@ def features(payload: bytes, sound: Logical) -> str:
     )
 
 
+def _kept(df: DataFrame, keep: tuple[str, ...], column: str) -> tuple[DataFrame, str]:
+    """The kept columns and ``column`` (last, under a name of its own), and the schema of the kept ones."""
+    named = [F.col(f"`{c}`") for c in keep]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*named).schema)
+    return df.select(*named, F.col(f"`{column}`").alias(unused(keep, "body"))), kinds
+
+
 def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``media``, the Ogg container of each whole text. No shuffle."""
-    slim = docs.select(*keep, text)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema)
+    slim, kinds = _kept(docs, keep, text)
+    name = unused(keep, "media")
 
     def run(batches):
         for b in slices(batches):
             made = [encode(*pad(t)) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made, pa.binary())], [*keep, "media"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made, pa.binary())], [*keep, name])
 
-    return slim.mapInArrow(run, f"{kinds}, media binary")
+    return slim.mapInArrow(run, f"{kinds}, `{name}` binary")
 
 
-def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """What is read back from ``media``: sizes, digests and features of each payload."""
-    slim = media.select(*keep, "media")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_streams", "n_pages", "bad_pages", "seconds"]
-    kinds += ", n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_streams int, n_pages int, bad_pages int, seconds double"
+def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media") -> DataFrame:
+    """What is read back from the containers in ``column``: sizes, digests and features of each payload."""
+    slim, kinds = _kept(media, keep, column)
+    fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("n_streams", "int"), ("n_pages", "int"), ("bad_pages", "int"), ("seconds", "double")]
+    names = [unused(keep, n) for n, _ in fields]
+    kinds += "".join(f", `{n}` {k}" for n, (_, k) in zip(names, fields, strict=True))
 
-    def one(data: bytes) -> tuple:
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * len(fields)
         streams = decode(data)
-        payload, n = payload_of(streams)
-        sound = next(s for s in streams.values() if s.packets[0].startswith(PCM_MAGIC))
-        return (
-            n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]), len(data), hashlib.sha256(data).hexdigest(),
-            features(payload, sound), len(streams), sum(s.pages for s in streams.values()), sum(s.bad_pages for s in streams.values()), timestamps(sound)[-1],
-        )
+        counts = len(streams), sum(s.pages for s in streams.values()), sum(s.bad_pages for s in streams.values())
+        if (found := payload_of(streams)) is None:
+            return None, None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, *counts, None
+        payload, n, sound = found
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, sound), *counts, timestamps(sound)[-1]
 
     def run(batches):
         kinds_of = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
@@ -268,21 +306,21 @@ def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return slim.mapInArrow(run, kinds)
 
 
-def packets(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def packets(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media") -> DataFrame:
     """One row per packet of every logical stream: serial, number, granule, seconds, bytes."""
-    slim = media.select(*keep, "media")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema)
+    slim, kinds = _kept(media, keep, column)
+    names = [unused(keep, n) for n in ("serial", "packet", "granule", "seconds", "data")]
 
     def run(batches):
         for b in slices(batches):
             rows, at = [], []
             for k, data in enumerate(b.column(len(keep)).to_pylist()):
                 for s in decode(data or b"").values():
-                    when = timestamps(s) if s.packets and s.packets[0].startswith(PCM_MAGIC) else [None] * len(s.packets)
+                    when = timestamps(s) if is_sound(s) else [None] * len(s.packets)
                     rows += [(s.serial, i, g, t, p) for i, (g, t, p) in enumerate(zip(s.granules, when, s.packets, strict=True))]
                     at += [k] * len(s.packets)
             kinds_of = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.binary()]
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[: len(keep)]), *cols], [*keep, "serial", "packet", "granule", "seconds", "data"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[: len(keep)]), *cols], [*keep, *names])
 
-    return slim.mapInArrow(run, f"{kinds}, serial bigint, packet int, granule bigint, seconds double, data binary")
+    return slim.mapInArrow(run, kinds + "".join(f", `{n}` {k}" for n, k in zip(names, ("bigint", "int", "bigint", "double", "binary"), strict=True)))

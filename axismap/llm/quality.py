@@ -5,13 +5,13 @@ n-grams, all hashed into ``BUCKETS`` rows; a softmax over two classes follows. A
 only the difference of the two outputs counts, a trained model comes down to one
 number per bucket and scoring to sums, remembered per word.
 
-Fitted on a bounded sample: about ``TRAIN_DOCS`` labelled whole texts, drawn by a
-hash of the id; their features (not texts) are brought to the driver, and the model
+Fitted on a bounded sample: about ``TRAIN_DOCS`` of the distinct labelled texts, drawn by
+a hash of id and text; their features (not texts) are brought to the driver, and the model
 (``BUCKETS`` numbers) is broadcast. Scoring shuffles nothing.
 
 Defined results: a null, empty or blank text scores by the bias alone; without any
-label all score 0.5; labels with a null quality or id are left out; repeated labels
-count again; repeated rows stay repeated; empty tables give empty results; only id
+label all score 0.5; labels with a null quality or id are left out; labels
+and rows that repeat count once in the sample; repeated rows stay repeated in the result; empty tables give empty results; only id
 and text are read when scoring.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axismap.llm.langid import held_out
-from axismap.llm.tables import slices
+from axismap.llm.tables import slices, stash
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -130,26 +130,28 @@ def _scorer(shared) -> Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     """Weights and bias from about ``train_docs`` of the labelled documents."""
-    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
-    n = marked.count()
-    spread = F.pmod(F.xxhash64("key", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = marked.filter(spread < min(1.0, train_docs / max(1, n)))
-    # the filter on the id goes to the documents too, so only drawn texts are shuffled
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(spread < min(1.0, train_docs / max(1, n)))
+    marked = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).filter("key is not null and label in (0, 1)")
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("same"), F.col(f"`{text}`").alias("text"))
+    # what repeats counts once, so that neither an id nor a row of any frequency adds to what is drawn
+    narrow = stash(slim.select("key", "same").join(marked.distinct(), "key").distinct(), "quality-labelled")
+    share = min(1.0, train_docs / max(1, narrow.count()))
+    spread = F.pmod(F.xxhash64("key", "same", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = narrow.filter(spread < share)  # about train_docs rows
+    texts = slim.join(F.broadcast(drawn), ["key", "same"]).groupBy("key", "same", "label").agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in slices(batches):
             found = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["label", "at", "n"])
 
-    got = slim.join(drawn, "key").orderBy("key").select("text", "label").mapInArrow(run, "label int, at binary, n binary").toArrow().to_pylist()
+    got = texts.orderBy("key", "same", "label").select("text", "label").mapInArrow(run, "label int, at binary, n binary").toArrow().to_pylist()
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32), r["label"]) for r in got]
     return train(rows) if rows else (np.zeros(BUCKETS), 0.0)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of every whole text."""
-    slim = docs.select(key, text)
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches):
@@ -157,10 +159,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id"
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer(t) for t in b.column(1).to_pylist()], pa.float64())], [key, "score"])
 
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double")
+    return slim.mapInArrow(run, f"`{key}` {slim.schema['key'].dataType.simpleString()}, score double")
 
 
 def predict(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 5, remainder: int = 0) -> DataFrame:
     """Fit on the labelled rows that aren't held out, score all: key, held_out, score, predicted."""
-    weights, bias = fit(docs, labels.filter(~held_out(F.col(key), modulus, remainder)), key, text, label)
-    return score(docs, weights, bias, key, text).select(key, held_out(F.col(key), modulus, remainder).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    weights, bias = fit(docs, labels.filter(~held_out(F.col(f"`{key}`"), modulus, remainder)), key, text, label)
+    return score(docs, weights, bias, key, text).select(key, held_out(F.col(f"`{key}`"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import slices, stash
+from axismap.llm.tables import IDENTITY, identity, mark, release, slices, stash, stay
 
 SHINGLE = 4
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed 64-bit integer. No shuffle."""
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         for b in slices(batches):
@@ -299,15 +299,17 @@ def connect(edges: DataFrame) -> DataFrame:
     """(u, root): the least node of each node's component, from links (u, v).
 
     Large-star and small-star rounds; the number of rounds grows with the logarithm
-    of the longest chain. A root has no row of its own.
+    of the longest chain. A root has no row of its own. A round's tables go with the next.
     """
+    spark = edges.sparkSession
+    since = mark(spark)
     edges = stash(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
     while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             return edges.withColumnRenamed("v", "root")
-        seen = mark
+        seen = now
         both = stash(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
         least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "links")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -315,6 +317,7 @@ def connect(edges: DataFrame) -> DataFrame:
         least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "links")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stash(small.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
+        release(spark, since, [edges])
 
 
 def components(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,16 +333,15 @@ def components(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text:
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id.
+    """``docs`` with one document of each component: that with the smallest id (then the least hash of its text).
 
-    Of rows that repeat one id and text, one stays; rows without an id stay unless
-    their component has a row with one.
+    A row without an id stays only if no row of its component has one.
     """
-    slim = docs.select(key, text).withColumn("__same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    named = slim.withColumn("__id", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__same").alias("same")))
-    # a row is told by its id and text, so that it is kept for its own component only
-    kept = components(named, radius, "__id", text).filter(F.col("__id.key").eqNullSafe(F.col("component_id.key")))
-    kept = kept.select(F.col("__id.key").alias("__kept"), F.col("__id.same").alias("__text")).distinct()
-    stays = docs.withColumn("__same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    stays = stays.join(kept, stays[key].eqNullSafe(kept["__kept"]) & (stays["__same"] == kept["__text"]), "left_semi")
-    return stays.dropDuplicates([key, "__same"]).drop("__same")
+    _, _, same = identity(key, text)
+    id_ = F.col(f"`{key}`")
+    slim = docs.select(F.struct(id_.isNull().alias("none"), id_.alias("key"), same.alias("same")).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = stash(components(slim, radius, "row", "text"), "simhash-rows")
+    per = found.groupBy("row").agg(F.count("*").alias("n"), F.first("component_id").alias("best"))
+    per = per.select("row.none", F.coalesce(F.col("row.key").cast("string"), F.lit("")).alias("id"), "row.same", (F.col("row.key").eqNullSafe(F.col("best.key")) & (F.col("row.same") == F.col("best.same"))).alias("kept"), "n")
+    fates = per.filter("not kept or n > 1").select(*IDENTITY, (~F.col("kept")).alias("gone"))
+    return stay(docs, stash(fates, "simhash-fates"), key, text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -36,16 +37,57 @@ def test_language_of_odd_rows(docs, odd_rows):
 
 
 def test_backoff_order():
-    m = langid.Model(["x", "y"], {"known": [9, 1]}, {"<a": [5, 1], "a": [1, 5], "ab>": [7, 1]})
-    assert np.allclose(m.of_word("known"), m.logs[m.words["known"]])
-    gram = lambda g: m.logs[m.grams[g]]
+    m = langid.Model.of(["x", "y"], {"known": [9, 1]}, {"<a": [5, 1], "a": [1, 5], "ab>": [7, 1]})
+    assert np.allclose(m.of_word("known"), np.log([9.5 / 9.5, 1.5 / 1.5]))
+    gram = lambda g: m.rows(len(g), [g])[0]
     assert np.allclose(m.of_word("zab"), gram("ab>"))  # the longest that is known
     assert np.allclose(m.of_word("aq"), gram("<a")) and np.allclose(m.of_word("qaq"), gram("a"))
     assert np.allclose(m.of_word("qq"), 0)
 
 
+def test_counts_and_scores_are_those_of_plain_code(spark):
+    """All texts are within the sample here, so counts can be taken without Spark."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    langs = sorted({l for k, t, l in rows if l is not None and t is not None and not held(k, 4, 2)})
+    tables = {n: {} for n in range(langid.LONGEST + 1)}
+
+    def add(n, what, lang):
+        tables[n].setdefault(what, dict.fromkeys(langs, 0))[lang] += 1
+
+    for k, t, l in rows:
+        if l is not None and t is not None and not held(k, 4, 2):
+            for w in langid.words(t):
+                add(0, w, l)
+                for n in range(1, langid.LONGEST + 1):
+                    for g in langid.grams(w, n):
+                        add(n, g, l)
+    totals = {n: {l: sum(c[l] for c in t.values()) + langid.SMOOTH * len(t) for l in langs} for n, t in tables.items()}
+    log = lambda n, what, l: math.log((tables[n][what][l] + langid.SMOOTH) / totals[n][l])
+
+    def of_word(w, l):
+        if w in tables[0]:
+            return log(0, w, l)
+        for n in range(langid.LONGEST, 0, -1):
+            if known := [g for g in langid.grams(w, n) if g in tables[n]]:
+                return sum(log(n, g, l) for g in known) / len(known)
+        return 0.0
+
+    got = {r.doc_id: r for r in langid.predict(docs).collect()}
+    memo = {}
+    for k, t, _ in rows:
+        found = langid.words(t)
+        if not found:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        total = [sum(memo.setdefault((w, l), None) or memo.__setitem__((w, l), of_word(w, l)) or memo[w, l] for w in found) for l in langs]
+        mean = [x / len(found) * min(len(found), langid.SURE_WORDS) for x in total]
+        odds = [math.exp(m - max(mean)) for m in mean]
+        assert got[k].lang_pred == langs[odds.index(1.0)] and abs(got[k].score - 1 / sum(odds)) < 1e-3
+
+
 def test_score_does_not_depend_on_what_was_seen_before():
-    m = langid.Model(["x", "y"], {"aa": [9, 1], "bb": [1, 9]}, {"b": [1, 3]})
+    m = langid.Model.of(["x", "y"], {"aa": [9, 1], "bb": [1, 9]}, {"b": [1, 3]})
     s, texts = langid.Scorer(m), ["aa bb", "bb", "aa aa", "cb cb"]
     assert [s(t) for t in texts] == [langid.Scorer(m)(t) for t in texts]
 
