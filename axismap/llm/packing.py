@@ -8,10 +8,10 @@ length, so one table of at most ``capacity`` rows goes to the driver and all pie
 are packed together, however many they are:
 
 1. Best fit, all pieces of a length at a time. Bins of equal contents are one class
-   with a count. Starts differ in the order of the lengths (falling, dealt, rising).
+   with a count. The two starts differ in the order of the lengths (falling, dealt).
 2. Local search over the classes of underfull bins: a move, one for one, two for one
    or one for two, each raising the sum of squared fills, as many bins at once as both
-   classes have, until no exchange is left. The start that ends with the fewest bins stays.
+   classes have, until no exchange is left. The start that ends with fewer bins stays.
 3. The plan says which ranks within a length fill which sequences. A piece's rank is
    its place within its task plus a prefix sum over (task, length), so repeated rows,
    one id or one length with any share of the rows are never one task.
@@ -20,8 +20,8 @@ What is broadcast: the plan, whose rows grow with the number of lengths, not of
 (each length splits at most two classes); beyond ``PLAN_ROWS`` rows it is joined by
 length without a broadcast.
 
-Texts go through the plain tokenizer: a special token that stands in a text as such
-becomes its own id, as the tokenizer does by itself.
+Ids are those of the tokenizer file with its defaults: a special token that stands in a
+text becomes its own id.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as often as they occur; an empty table gives an empty result; columns other
@@ -30,6 +30,7 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import struct
@@ -52,128 +53,73 @@ END_ID = 2
 SEED = 7
 BASE = 32
 PLAN_ROWS = 1 << 18
-CACHE = 250_000
 TEXTS_AT_ONCE = 200
-WORDS_AT_ONCE = 256
 TOKENIZER = "byte_bpe_50k.json"
-#: White space other than blanks and line feeds.
-_ODD_SPACE = re.compile(r"[^\S \n]")
-
-
-def _odd(text: str, special: tuple[str, ...] = ()) -> bool:
-    """Whether white space is other than single blanks and line feeds between words, or a special token occurs: such texts are encoded whole."""
-    return any(s in text for s in special) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD_SPACE.search(text) is not None
-
-
-#: A word of letters with what follows it: two tokenizer units where both are there.
-_LETTERS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+#: Characters that every version of Unicode puts into the same class (letter, number, space, other).
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
+_LONG_SPACE = re.compile(r"\s{256}")
 
 
 class Ids:
-    """Token ids (little-endian, four bytes each) of texts, remembered by word.
-
-    What is remembered has two generations of ``CACHE`` words: when the young one is
-    full it becomes the old one, from which words in use are taken over.
+    """Token ids (little-endian, four bytes each) of texts, as the file's tokenizer gives them.
 
-    The tokenizer never joins a word with the blank that follows it or with a line
-    feed, so ids of blank-led words and of line starts can be put together. A new word
-    of letters alone is one unit of its own: such words go to the tokenizer's model many
-    at a time, held apart by a character that takes part in no merge. Any other word
-    goes through the whole tokenizer.
+    A text of plain characters goes through a second implementation of byte-pair merging
+    that is made of the same file's vocabulary and takes half the time. Any other text (other
+    characters, special tokens, long white space), and all texts if the file is not plain
+    byte-level merging in the order of its ids, go through the tokenizer itself.
     """
 
     def __init__(self, path: str | None = None) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         path = path or public_tokenizers.path(TOKENIZER)
-        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.joined.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.apart, self.apart_id = self._unmerged()
-        self.led: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.old: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.feed = self._encode(["\n"])[0]
-
-    def _unmerged(self) -> tuple[str, int]:
-        """A control character that is a token and part of no other, and its id."""
-        merged = set().union(*(t for t in self.joined.get_vocab() if len(t) > 1))
-        for c in map(chr, range(32)):
-            ids = self.joined.encode(c, add_special_tokens=False).ids
-            if len(ids) == 1 and self.joined.id_to_token(ids[0]) not in merged:
-                return c, ids[0]
-        raise ValueError("every control character of the tokenizer takes part in a merge")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _units(self, words: list[str], lead: str) -> Iterator[bytes]:
-        """Ids of words of letters, each with ``lead`` before it."""
-        between = self.apart + lead
-        parts = [lead + between.join(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
-        for e in self.joined.encode_batch_fast(parts, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for end in (4 * np.flatnonzero(ids == self.apart_id)).tolist():
-                yield raw[at:end]
-                at = end + 4
-            yield raw[at:]
-
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        old, letters, built, rest = self.old[lead], {}, [], []
-        for w in new:
-            if (met := old.get(w)) is not None:
-                known[w] = met
-                continue
-            if w.isalpha():
-                letters[w] = None
-                continue
-            if w[:-1].isalpha() and not w[-1].isalnum():
-                stem, tail = w[:-1], w[-1]
-            elif (found := _LETTERS.fullmatch(w)) and found[1].isalpha():
-                stem, tail = found[1], found[2]
-            else:
-                rest.append(w)
-                continue
-            built.append((w, stem, tail))
-            if stem not in known:
-                if (met := old.get(stem)) is not None:
-                    known[stem] = met
-                else:
-                    letters[stem] = None
-        known.update(zip(letters, self._units(list(letters), lead), strict=True))
-        tails = list({tail for _, _, tail in built} - self.bare.keys())
-        self.bare.update(zip(tails, self._encode(tails), strict=True))
-        for w, stem, tail in built:
-            known[w] = known[stem] + self.bare[tail]
-        known.update(zip(rest, self._encode([lead + w for w in rest]), strict=True))
+        self.fast = _merger(path)
+
+    def _is_plain(self, text: str) -> bool:
+        return self.fast is not None and _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.special) and _LONG_SPACE.search(text) is None
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = [t or "" for t in texts]
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[k : k + TEXTS_AT_ONCE]
-            lines = [None if _odd(t, self.special) else [_first_and_rest(x) for x in t.split("\n")] for t in part]
-            whole = iter(self._encode([t for t, x in zip(part, lines, strict=True) if x is None]))
-            if len(self.led) + len(self.bare) > CACHE:
-                self.old = {" ": self.led, "": self.bare}
-                self.led, self.bare = {}, {}
-            every = [y for x in lines if x is not None for y in x]
-            self._learn(self.led, set().union(*(y[1] for y in every)) - self.led.keys(), " ")
-            self._learn(self.bare, {y[0] for y in every} - self.bare.keys(), "")
-            get, bare = self.led.__getitem__, self.bare
-            for x in lines:
-                yield next(whole) if x is None else self.feed.join([bare[y[0]] + b"".join(map(get, y[1])) for y in x])
+            plain = [self._is_plain(t) for t in part]
+            rest = iter(self.tokenizer.encode_batch([t for t, p in zip(part, plain, strict=True) if not p], add_special_tokens=False))
+            for t, p in zip(part, plain, strict=True):
+                yield (self.fast.encode_to_numpy(t, disallowed_special=()) if p else np.array(next(rest).ids)).astype("<u4").tobytes()
+
+
+def _merger(path: str):
+    """Byte-pair merging by the vocabulary of a tokenizer file; None if the file is of another kind."""
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, split = told["model"], told["pre_tokenizer"] or {}
+    kind = (model.get("type", "BPE"), split.get("type"), split.get("use_regex", True), split.get("add_prefix_space"), told["normalizer"])
+    if kind != ("BPE", "ByteLevel", True, False, None) or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t["content"] for t in told["added_tokens"]}
+    letters = {c: k for k, c in _byte_letters().items()}
+    if made != sorted(made) or set(letters) != set(ByteLevel.alphabet()):
+        return None
+    ranks = {bytes(letters[c] for c in token): rank for token, rank in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _first_and_rest(line: str) -> tuple[str, list[str]]:
-    first, blank, rest = line.partition(" ")
-    return first, rest.split(" ") if blank else []
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is visible, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
 @cache
 def ids_of(path: str | None) -> Ids:
-    """One of a worker process, so that its tasks share what is remembered."""
+    """One of a worker process."""
     return Ids(path)
 
 
@@ -379,10 +325,10 @@ def local_search(bins: Counter[Contents], capacity: int = CAPACITY) -> Counter[C
 
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> Counter[Contents]:
-    """Bins by contents for so many pieces of each length: of three starts the one that ends with the fewest."""
+    """Bins by contents for so many pieces of each length: of two starts the one that ends with fewer."""
     falling = sorted(counts, reverse=True)
     dealt = random.Random(SEED).sample(falling, len(falling))
-    return min((local_search(best_fit(counts, order, capacity), capacity) for order in (falling, dealt, falling[::-1])), key=Counter.total)
+    return min((local_search(best_fit(counts, order, capacity), capacity) for order in (falling, dealt)), key=Counter.total)
 
 
 def plan_rows(bins: Counter[Contents]) -> list[tuple[int, int, int, int, int, int]]:

@@ -15,12 +15,15 @@ def whole_ids(texts):
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-def test_ids_by_word_are_the_tokenizers(odd_rows):
-    texts = [t for _, t in odd_rows] + ["don't we're 'tis it's  two\n\nlines\t tab", "a\n b \n", "²x Ⅷ x² naïve— “quoted” 3.14 foo123 bar_baz!! end.", " lead", "trail ", "it' 's 's's", "é combining", "x\xa0y", "<|endoftext|>", "<|endoftext|> hi", "some <|endoftext|>glued<|endoftext|> words", "<|endoftext|", "a's!", "l'été, où?", "\r\n"]
+def test_ids_are_the_tokenizers(odd_rows):
+    texts = [t or "" for _, t in odd_rows] + ["don't we're 'tis it's  two\n\nlines\t tab", "a\n b \n", "²x Ⅷ x² naïve— “quoted” 3.14 foo123 bar_baz!! end.", " lead", "trail ", "it' 's 's's", "é combining", "x\xa0y", "<|endoftext|>", "<|endoftext|> hi", "some <|endoftext|>glued<|endoftext|> words", "<|endoftext|", "a's!", "l'été, où?", "\r\n"]
     rng = random.Random(2)
     texts += ["".join(rng.choice("aB é.,!'\n 1²\t_-") for _ in range(60)) for _ in range(300)]
     texts += [" ".join("".join(rng.choice("abcdeéßñтоق語") for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", "_", "...", "\u0301"]) for _ in range(900)) for _ in range(3)]
+    plain = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))]
+    texts += ["".join(rng.choice(plain) for _ in range(200)) for _ in range(400)] + ["".join(rng.choice(" 'stdlmrve9") for _ in range(80)) for _ in range(200)] + [" " * 300 + "x", "y" * 3000]
     ids = packing.Ids()
+    assert sum(map(ids._is_plain, texts[-602:-2])) == 600
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in ids(texts)] == whole_ids(texts)
 
