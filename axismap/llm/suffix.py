@@ -7,11 +7,11 @@ the same gram at the same place, so only occurrences of one gram need to be comp
 
 1. Documents are packed into compressed blocks (a written table, so that later
    rounds meet the same blocks). Each block sends the distinct hashes of its anchors.
-2. A hash that occurs twice is contested, and hot beyond ``HOT`` occurrences. Blocks
-   are told, and build the suffix array of their own contested windows: of equal ones
+2. A hash that occurs twice is contested, shared if in several blocks, and then hot
+   beyond ``HOT`` occurrences. Blocks are told, and build the suffix array of their own contested windows: of equal ones
    the earliest stays, the others are gone before anything is sent (a combine on the
-   sending side). Of what stays, each run of windows with one anchor is sent as a
-   context. For a hot hash each window goes alone, by its own hash, so that a passage
+   sending side). Of what stays and has a shared hash, each run of windows with one
+   anchor is sent as a context. For a hot hash each window goes alone, by its own hash, so that a passage
    held by a third of all documents is dealt over all tasks, once per block.
 3. A task builds the suffix array of all contexts of one hash in the same way.
 4. Blocks get the windows that are gone and cut their documents.
@@ -120,30 +120,67 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
     return out
 
 
+def window_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes from each place on."""
+    parts = [np.zeros(0, np.uint64)]
+    for at in range(0, max(0, len(text) - LENGTH + 1), CHUNK):
+        parts.append(_rolled(text[at : at + CHUNK + LENGTH - 1], LENGTH))
+    return np.concatenate(parts)
+
+
+def _rolled(part: np.ndarray, length: int) -> np.ndarray:
+    """A mixed hash of ``length`` bytes from each place on, put together from hashes of powers of two."""
+    h, base, width = _BYTE_HASH[part], 0x9E3779B97F4A7C15, 1
+    while 2 * width <= length:
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base, width = base * base & 0xFFFFFFFFFFFFFFFF, 2 * width
+    if length > width:
+        h = h[: -(length - width)] * np.uint64(base) + h[length - width :]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def repeats(text: np.ndarray, wanted: np.ndarray, rank: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """By place, whether the wanted window that starts there equals one of smaller rank."""
+    """By place, whether the wanted window that starts there equals one of smaller rank.
+
+    Windows whose hash no other has equal none and are left out; the suffix array decides.
+    """
     gone = np.zeros(len(text), bool)
-    order = suffix_order(text, wanted)
-    if not len(order):
+    at = np.flatnonzero(wanted)
+    if not len(at):
         return gone
-    cuts = np.flatnonzero(common_prefixes(text, order) < LENGTH)
+    h = window_hashes(text)[at]
+    by = np.argsort(h)
+    same = h[by][1:] == h[by][:-1]
+    twice = np.zeros(len(text), bool)
+    twice[at[by[np.r_[False, same] | np.r_[same, False]]]] = True
+    # the suffix array is built of the bytes of these windows alone
+    lo, n = _runs(twice)
+    if not len(lo):
+        return gone
+    sizes = n + LENGTH - 1
+    starts = np.cumsum(sizes) - sizes
+    place = np.repeat(lo - starts, sizes) + np.arange(int(sizes.sum()))
+    part = text[place]
+    order = suffix_order(part, _marked(len(part), starts, n))
+    cuts = np.flatnonzero(common_prefixes(part, order) < LENGTH)
     sizes = np.diff(np.r_[cuts, len(order)])
     several = np.repeat(sizes > 1, sizes)
-    ranks = rank(order[several])
+    found = place[order[several]]
+    ranks = rank(found)
     heads = np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1]
     if len(heads):
-        gone[order[several]] = ranks != np.repeat(np.minimum.reduceat(ranks, heads), sizes[sizes > 1])
+        gone[found] = ranks != np.repeat(np.minimum.reduceat(ranks, heads), sizes[sizes > 1])
     return gone
 
 
-def repeated_windows(contexts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """For each context, which of its windows some context of smaller rank has too."""
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
+def repeated_windows(text: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """By place in contexts laid end to end, whether some context of smaller rank has that window too."""
     starts = np.cumsum(sizes) - sizes
     wanted = _marked(len(text), starts, sizes - LENGTH + 1)
-    gone = repeats(text, wanted, lambda at: rank[np.searchsorted(starts, at, side="right") - 1])
-    return [gone[s : s + n - LENGTH + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return repeats(text, wanted, lambda at: rank[np.searchsorted(starts, at, side="right") - 1])
 
 
 def _marked(n: int, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -154,6 +191,14 @@ def _marked(n: int, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with the places that have it."""
+    order = np.argsort(values, kind="stable")
+    found, first = np.unique(values[order], return_index=True)
+    if len(found):
+        yield from zip(found.tolist(), np.split(order, first[1:]), strict=True)
+
+
 def _runs(mask: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(start, width) of the runs of set places (of one label)."""
     at = np.flatnonzero(mask)
@@ -221,14 +266,7 @@ class Block:
         step = CHUNK - LENGTH
         for at in range(0, max(0, last + 1), step):
             part = self.text[at : min(len(self.text), at + step + LENGTH - 1)]
-            h = _BYTE_HASH[part]
-            base, width = 0x9E3779B97F4A7C15, 1
-            while width < GRAM:
-                h = h[:-width] * np.uint64(base) + h[width:]
-                base, width = base * base & 0xFFFFFFFFFFFFFFFF, 2 * width
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
+            h = _rolled(part, GRAM)
             low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
             span, width = LENGTH - GRAM + 1, 1
             while 2 * width <= span:
@@ -252,13 +290,11 @@ class Block:
         """(task, sorted distinct keys, occurrences) of this block's anchors."""
         key, n = np.unique(self.key, return_counts=True)
         task = (key % np.uint64(tasks)).astype(np.int64)
-        order = np.argsort(task, kind="stable")
-        found, first = np.unique(task[order], return_index=True)
-        for t, part in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        for t, part in _by(task):
             yield t, key[part], n[part].astype(np.uint32)
 
     def states(self, tasks: int, told: dict[int, bytes]) -> np.ndarray:
-        """By anchor: 0 alone, 1 contested, 2 hot, as the tasks have told."""
+        """By anchor: 0 alone, 1 contested in this block, 2 shared with others, 3 hot, as the tasks have told."""
         known, state = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for t, keys, _ in self.keys_by_task(tasks):
             if t in told:
@@ -284,8 +320,9 @@ class Block:
         of_place = np.full(len(self.text) + 1, -1, np.int64)
         of_place[_marked(len(self.text) + 1, self.lo, self.hi - self.lo + 1)] = anchor
         stays = wanted & ~gone
-        hot = np.zeros(len(self.text), bool)
-        hot[stays] = state[of_place[:-1][stays]] == 2
+        told_of = np.zeros(len(self.text), np.uint8)
+        told_of[stays] = state[of_place[:-1][stays]]
+        stays, hot = told_of >= 2, told_of == 3
         lo, n = _runs(stays & ~hot, of_place)
         alone = np.flatnonzero(hot)
         hashed = xxhash.xxh64_intdigest
@@ -298,31 +335,30 @@ class Block:
         return entries, gone
 
 
-def judge(entries: np.ndarray, contexts: list[bytes], block: np.ndarray) -> list[np.ndarray]:
-    """For each entry, which of its windows an earlier entry with its hash has too."""
+def judge(entries: np.ndarray, bodies: bytes, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, start in its context, width) of the runs of windows that an earlier entry with its hash has too."""
     rank = np.empty(len(entries), np.int64)
     rank[np.lexsort((entries["at"], entries["row"], block, entries["tie"], entries["doc"], entries["late"]))] = np.arange(len(entries))
-    out = [np.zeros(n, bool) for n in entries["windows"].tolist()]
-    by_key = np.argsort(entries["key"], kind="stable")
-    groups = np.split(by_key, np.flatnonzero(np.diff(entries["key"][by_key])) + 1) if len(by_key) else []
-    batch: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        for k, gone in zip(batch, repeated_windows([contexts[k] for k in batch], rank[batch]) if batch else [], strict=True):
-            out[k] = gone
-        batch.clear()
-
-    for group in groups:
-        if len(group) == 1:
-            continue
-        batch += group.tolist()
-        size += sum(len(contexts[k]) for k in group.tolist())
-        if size >= SORT_BYTES:
-            flush()
-            size = 0
-    flush()
-    return out
+    sizes = entries["windows"].astype(np.int64) + LENGTH - 1
+    starts = np.cumsum(sizes) - sizes
+    _, group, n = np.unique(entries["key"], return_inverse=True, return_counts=True)
+    chosen = np.argsort(group, kind="stable")
+    chosen = chosen[n[group[chosen]] > 1]
+    ends = np.cumsum(sizes[chosen])
+    last = np.flatnonzero(np.r_[group[chosen][1:] != group[chosen][:-1], True]) + 1 if len(chosen) else np.zeros(0, np.int64)
+    found = [(np.zeros(0, np.int64),) * 3]
+    i = 0
+    while i < len(chosen):  # whole groups of about SORT_BYTES together
+        j = int(last[min(np.searchsorted(ends[last - 1], (ends[i - 1] if i else 0) + SORT_BYTES), len(last) - 1)])
+        own = chosen[i:j]
+        text = np.frombuffer(b"".join([bodies[a:b] for a, b in zip(starts[own].tolist(), (starts[own] + sizes[own]).tolist(), strict=True)]), np.uint8)
+        at, width = _runs(repeated_windows(text, sizes[own], rank[own]))
+        heads = np.cumsum(sizes[own]) - sizes[own]
+        k = np.searchsorted(heads, at, side="right") - 1
+        found.append((own[k], at - heads[k], width))
+        i = j
+    entry, at, width = (np.concatenate(x) for x in zip(*found, strict=True))
+    return entry, at, width
 
 
 # --- the rounds ---------------------------------------------------------------------
@@ -346,8 +382,8 @@ def _contested(blocks: DataFrame, tasks: int) -> DataFrame:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=n)[at]
-        marks = np.split(((total > 1) + (total > HOT).astype(np.uint8)).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
+        total, shared = np.bincount(at, weights=n)[at], np.bincount(at)[at] > 1
+        marks = np.split(((total > 1).astype(np.uint8) + shared + (shared & (total > HOT))).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
         some = np.array([bool(m.any()) for m in marks])
         squeeze = zstandard.ZstdCompressor(level=3)
         kept = table.filter(pa.array(some)).select(["block", "task"])
@@ -361,9 +397,8 @@ def _told(pairs: list[dict]) -> dict[int, bytes]:
     return {p["task"]: unpack.decompress(p["marks"]) for p in pairs or []}
 
 
-def _pairs(mask: np.ndarray, offset: np.ndarray | int = 0) -> bytes:
-    lo, n = _runs(mask)
-    return np.stack([lo + offset, n], 1).astype("<i8").tobytes()
+def _pairs(lo: np.ndarray, n: np.ndarray) -> bytes:
+    return np.stack([lo, n], 1).astype("<i8").tobytes()
 
 
 def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
@@ -379,11 +414,9 @@ def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
                 block.find_anchors()
                 entries, gone = block.contexts(tasks, _told(told))
                 # what the block settled by itself passes through, by a task number below zero
-                names, blobs = [-1 - number % tasks], [_pairs(gone)]
+                names, blobs = [-1 - number % tasks], [_pairs(*_runs(gone))]
                 task = (entries["key"] % np.uint64(tasks)).astype(np.int64)
-                order = np.argsort(task, kind="stable")
-                found, first = np.unique(task[order], return_index=True)
-                for t, part in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+                for t, part in _by(task):
                     e = entries[part]
                     bodies = b"".join(block.raw[s : s + n + LENGTH - 1] for s, n in zip(e["lo"].tolist(), e["windows"].tolist(), strict=True))
                     names.append(t)
@@ -394,24 +427,17 @@ def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
         if table.column("task")[0].as_py() < 0:
             return pa.table({"block": table.column("block"), "gone": table.column("items")})
         unpack = zstandard.ZstdDecompressor()
-        entries, contexts, counts = [], [], []
+        entries, bodies = [], []
         for blob in table.column("items").to_pylist():
             blob = unpack.decompress(blob)
             n = int.from_bytes(blob[:8], "little")
-            e = np.frombuffer(blob, _ENTRY, n, 8)
-            at = 8 + n * _ENTRY.itemsize
-            for w in e["windows"].tolist():
-                contexts.append(blob[at : at + w + LENGTH - 1])
-                at += w + LENGTH - 1
-            entries.append(e)
-            counts.append(n)
+            entries.append(np.frombuffer(blob, _ENTRY, n, 8))
+            bodies.append(blob[8 + n * _ENTRY.itemsize :])
         every = np.concatenate(entries)
-        gone = judge(every, contexts, np.repeat(np.array(table.column("block").to_pylist()), counts))
-        found, at = [], 0
-        for n in counts:
-            found.append(b"".join(_pairs(g, lo) for g, lo in zip(gone[at : at + n], every["lo"][at : at + n].tolist(), strict=True) if g.any()))
-            at += n
-        return pa.table({"block": table.column("block"), "gone": pa.array(found, pa.binary())})
+        block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), [len(e) for e in entries])
+        entry, at, width = judge(every, b"".join(bodies), block)
+        found = [(number, _pairs(every["lo"][entry[k]] + at[k], width[k])) for number, k in _by(block[entry])]
+        return pa.table({"block": pa.array([f[0] for f in found], pa.int64()), "gone": pa.array([f[1] for f in found], pa.binary())})
 
     return joined.mapInArrow(send, "block bigint, task bigint, items binary").groupBy("task").applyInArrow(meet, "block bigint, gone binary").filter("length(gone) > 0")
 
