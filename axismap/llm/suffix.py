@@ -51,8 +51,8 @@ from axismap.llm.tables import stash
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 2 << 20
-CHUNK = 1 << 20
-HOT = 1024
+CHUNK = 1 << 16
+HOT = 1 << 14
 SORT_BYTES = 1 << 20
 TASK_BYTES = 8 << 20
 _PLACE = np.uint64(CHUNK - 1)

@@ -60,7 +60,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [1024, 3])
+@pytest.mark.parametrize("hot", [1 << 14, 3])
 def test_report_against_all_windows(docs, odd_rows, hot, monkeypatch):
     rows = corpus(1) + odd_rows
     monkeypatch.setattr(suffix, "HOT", hot)
