@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axismap.functions.coords import b_of_diagonal, diagonal
-from axismap.operators.ordered import last_mark, max_before, previous_row
+from axismap.operators.ordered import islands, max_before, previous_row
 from axismap.schema import MapError, as_runs
 
 BIN = 1 << 20
@@ -20,10 +20,7 @@ def canonical_runs(runs: DataFrame, bin_width: int = BIN) -> DataFrame:
     """
     keys = ["a_member", "b_member", "strand", "diag"]
     lines = as_runs(runs).withColumn("diag", diagonal()).withColumn("bin", F.floor(F.col("a") / bin_width))
-    reach = max_before(lines, keys, "bin", ["a", "len"], F.col("a") + F.col("len"), "reach")
-    starts = F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), F.col("a"))
-    islands = last_mark(reach, keys, "bin", ["a", "len"], starts, "first")
-    merged = islands.groupBy(*keys, "first").agg((F.max(F.col("a") + F.col("len")) - F.col("first")).alias("n"))
+    merged = islands(lines, keys, "bin", ["a", "len"], F.col("a"), F.col("a") + F.col("len"), "first").groupBy(*keys, "first").agg((F.max(F.col("a") + F.col("len")) - F.col("first")).alias("n"))
     n = F.col("n")
     return merged.select("a_member", F.col("first").alias("a"), "b_member", b_of_diagonal(F.col("diag"), F.col("first"), n, F.col("strand")).alias("b"), n.alias("len"), "strand")
 
@@ -65,19 +62,16 @@ def check_presorted(runs: DataFrame, sequence: str) -> DataFrame:
     ``revisited``: an a member that comes again after another; ``backwards``: an ``a``
     below the row before it in the member.
     """
-    from pyspark.sql import Window
-
-    by = Window.orderBy(sequence)
-    rows = runs.select("a_member", "a", sequence)
-    heads = rows.withColumn("prev", F.lag("a_member").over(by)).filter("prev is null or prev != a_member")
+    rows = runs.select("a_member", "a", F.col(sequence).alias("seq")).withColumn("bin", F.floor(F.col("seq") / BIN))
+    heads = previous_row(rows, [], "bin", ["seq"], ["a_member"]).filter("prev is null or prev.a_member != a_member")
     again = heads.groupBy("a_member").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("revisited"))
-    inside = Window.partitionBy("a_member").orderBy(sequence)
-    back = rows.withColumn("prev", F.lag("a").over(inside)).agg(F.coalesce(F.sum((F.col("a") < F.col("prev")).cast("long")), F.lit(0)).alias("backwards"))
+    inside = previous_row(rows, ["a_member"], "bin", ["seq"], ["a"])
+    back = inside.agg(F.coalesce(F.sum((F.col("a") < F.col("prev.a")).cast("long")), F.lit(0)).alias("backwards"))
     return again.crossJoin(back)  # one row each
 
 
-def integrity(runs: DataFrame, members: DataFrame) -> DataFrame:
-    """Faults by rule, one row per rule: rule, faults."""
+def integrity(runs: DataFrame, members: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Faults by rule, one row per rule: rule, faults. With ``groups`` their names and the members' groups are held too."""
     r = as_runs(runs)
     sides = []
     for axis in ("a", "b"):
@@ -97,12 +91,16 @@ def integrity(runs: DataFrame, members: DataFrame) -> DataFrame:
     names = members.groupBy("axis", "name").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("duplicate_name"))
     wide = counted.crossJoin(names)  # one row each
     rules = [*bad, "duplicate_name"]
+    if groups is not None:
+        twice = groups.groupBy("axis", "name").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("duplicate_group"))
+        lost = members.filter("group_id is not null").join(groups.select("axis", "group_id").distinct(), ["axis", "group_id"], "left_anti").agg(F.count("*").alias("undeclared_group"))
+        wide, rules = wide.crossJoin(twice).crossJoin(lost), [*rules, "duplicate_group", "undeclared_group"]  # one row each
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("faults")) for k in rules])).alias("x")).select("x.rule", "x.faults")
 
 
-def verify(runs: DataFrame, members: DataFrame) -> str:
+def verify(runs: DataFrame, members: DataFrame, groups: DataFrame | None = None) -> str:
     """"OK", or raises with the rules that are broken."""
-    broken = [f"{r['rule']}: {r['faults']}" for r in integrity(runs, members).filter("faults > 0").collect()]
+    broken = [f"{r['rule']}: {r['faults']}" for r in integrity(runs, members, groups).filter("faults > 0").collect()]
     if broken:
         raise MapError("CORRUPT: " + ", ".join(broken))
     return "OK"

@@ -2,24 +2,26 @@
 
 A span joins query [q_start, q_end) to target [t_start, t_end) with a score. Chains
 are the best-scoring collinear sequences: a gap costs ``open + extend * (query gap +
-target gap)``, neither gap over ``max_gap``. Links need one (q_member, strand,
-t_member) and a bounded query gap, so spans are cut into segments by a running maximum
-and every segment is solved on its own.
+target gap)``, neither gap over ``max_gap``. A link must cost less than the later span
+scores, so no gap exceeds what the best score of any span allows. Spans of one (q_member,
+strand, t_member) are cut where the query gap to all before is larger, bin by bin, and every
+segment is solved on its own; within it, predecessors are looked up by where they end on the
+target, as far back as the later span's score reaches.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 from itertools import groupby
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axismap.operators.ordered import numbered
+from axismap.operators.ordered import islands, numbered
 from axismap.operators.streams import ordered_fold
 
+BIN = 1 << 20
 SPAN_COLUMNS = ["q_member", "t_member", "q_start", "q_end", "t_start", "t_end", "strand", "score"]
 
 
@@ -41,60 +43,66 @@ def solve(spans: list[tuple[int, int, int, int, int]], p: ChainParams) -> list[t
     n = len(spans)
     if n == 1:
         return [(0, spans[0][4], spans[0][4])]
-    qs, qe, ts, te, own = (np.array(c, np.int64) for c in zip(*spans, strict=True))
-    # among equally good predecessors the largest (te, qe, qs, ts, position) is taken
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((np.arange(n), ts, qs, qe, te))] = np.arange(n)
-    best, prev = own.copy(), np.full(n, -1, np.int64)
-    starts, widest = qs.tolist(), int((qe - qs).max())
-    for i in range(1, n):
-        low = bisect_left(starts, starts[i] - p.max_gap - widest)
-        qg, tg = qs[i] - qe[low:i], ts[i] - te[low:i]
-        can = (qg >= 0) & (tg >= 0) & (qg <= p.max_gap) & (tg <= p.max_gap)
-        j = np.flatnonzero(can)
-        if not len(j):
-            continue
-        gap = qg[j] + tg[j]
-        cost = np.where(gap == 0, 0, p.open + p.extend * gap)
-        total = own[i] + best[low + j] - cost
-        good = (cost < own[i]) & (total > own[i])
-        if good.any():
-            top = total[good].max()
-            pick = low + j[good & (total == top)]
-            best[i], prev[i] = top, pick[rank[pick].argmax()]
-
-    def link_cost(i: int, j: int) -> int:
-        gap = int(qs[i] - qe[j] + ts[i] - te[j])
-        return 0 if gap == 0 else p.open + p.extend * gap
-
-    root = np.full(n, -1, np.int64)
-    score = np.zeros(n, np.int64)
-    claims = np.lexsort((-np.arange(n), -te, -qe, -ts, -qs, -best))
-    for r in claims.tolist():
+    best, prev = [x[4] for x in spans], [-1] * n
+    reach = [_reach(x[4], p) for x in spans]
+    furthest = max(reach)
+    # spans that a later one may reach, by where they end on the target; of equally good ones the last is taken
+    live: list[tuple[int, int, int, int, int]] = []
+    added = 0
+    for i, (qs, qe, ts, te, own) in enumerate(spans):
+        if added > len(live) // 2 + 32:
+            live = [x for x in live if x[1] >= qs - furthest]
+            added = 0
+        limit, top = reach[i], own
+        for k in range(bisect_left(live, (ts - limit,)), len(live)):
+            e, f, _, _, j = live[k]
+            if e > ts:
+                break
+            qg = qs - f
+            if qg < 0 or qg > limit:
+                continue
+            gap = qg + ts - e
+            cost = p.open + p.extend * gap if gap else 0
+            if cost < own and (total := own + best[j] - cost) > own and total >= top:
+                top, prev[i] = total, j
+        best[i] = top
+        insort(live, (te, qe, qs, ts, i))
+        added += 1
+
+    root, score = [-1] * n, [0] * n
+    claims = sorted(range(n), key=lambda i: (-best[i], -spans[i][0], -spans[i][2], -spans[i][1], -spans[i][3], -i))
+    for r in claims:
         if root[r] >= 0:
             continue
-        total, at = int(best[r]), r
+        at = r
         while True:
             root[at] = r
-            before = int(prev[at])
-            if before < 0:
-                break
-            if root[before] >= 0:
-                total -= int(best[before]) - link_cost(at, before)
+            before = prev[at]
+            if before < 0 or root[before] >= 0:
                 break
             at = before
-        score[r] = total
-    return [(int(r), int(score[r]), int(best[r])) for r in root]
+        score[r] = best[r] - best[at] + spans[at][4]  # what stood before the last span is another chain's
+    return [(r, score[r], best[r]) for r in root]
+
+
+def _reach(own: int, p: ChainParams) -> int:
+    """The largest gap that a span of this score can be linked over."""
+    if own <= p.open:
+        return 0
+    return min(p.max_gap, (own - p.open - 1) // p.extend) if p.extend > 0 else p.max_gap
 
 
-def segments(spans: DataFrame, p: ChainParams, keys: list[str]) -> DataFrame:
-    """Spans with qs, qe (mirrored on strand 1), idx and seg: the query start of their segment."""
+def segments(spans: DataFrame, p: ChainParams, bin_width: int = BIN) -> DataFrame:
+    """Spans with qs, qe (mirrored on strand 1) and seg: where their segment starts on the query."""
     rev = F.col("strand") == 1
     s = spans.withColumn("qs", F.when(rev, -F.col("q_end")).otherwise(F.col("q_start"))).withColumn("qe", F.when(rev, -F.col("q_start")).otherwise(F.col("q_end")))
-    by = Window.partitionBy(*keys, "q_member", "strand", "t_member").orderBy("qs", "t_start", "t_end", "qe", "idx")
-    s = s.withColumn("reach", F.max("qe").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    new = F.col("reach").isNull() | (F.col("qs") - F.col("reach") > p.max_gap)
-    return s.withColumn("seg", F.sum(new.cast("int")).over(by)).drop("reach")
+    s = s.withColumn("bin", F.floor(F.col("qs") / bin_width))
+    keys, order = ["q_member", "strand", "t_member"], ["qs", "t_start", "t_end", "qe", "idx"]
+    far = F.lit(p.max_gap)
+    if p.extend > 0:  # one row: the best score of any span bounds every gap
+        s = s.crossJoin(F.broadcast(spans.agg(F.max("score").alias("__top"))))
+        far = F.greatest(F.lit(0), F.least(far, F.floor((F.col("__top") - p.open - 1) / p.extend)))
+    return islands(s, keys, "bin", order, F.col("qs"), F.col("qe") + far, "seg").drop("__top", "bin")
 
 
 def chain(spans: DataFrame, params: ChainParams = ChainParams(), idx: str = "idx") -> DataFrame:
@@ -103,7 +111,7 @@ def chain(spans: DataFrame, params: ChainParams = ChainParams(), idx: str = "idx
     Ids count from 1 over (q_member, reverse strand first), by root score; they don't
     depend on the input order, except among identical spans.
     """
-    s = segments(spans.select(*SPAN_COLUMNS, F.col(idx).alias("idx")), params, [])
+    s = segments(spans.select(*SPAN_COLUMNS, F.col(idx).alias("idx")), params)
     keys = ["q_member", "strand", "t_member", "seg"]
     columns = [*keys, "qs", "qe", "t_start", "t_end", "score", "idx"]
 
@@ -119,7 +127,7 @@ def chain(spans: DataFrame, params: ChainParams = ChainParams(), idx: str = "idx
     out = ordered_fold(s, keys, ["qs", "t_start", "t_end", "qe", "idx"], columns, fold, schema)
     roots = out.filter("idx = r_idx").withColumn("rev", -F.col("strand"))
     order = [F.desc(c) for c in ("full", "r_qs", "r_ts", "r_qe", "r_te", "r_t", "r_idx")]
-    ids = numbered(roots, ["q_member", "rev"], order, "chain_id").select(F.col("r_idx").alias("root"), "chain_id")
+    ids = numbered(roots, ["q_member", "rev"], order, "chain_id", bin_=-F.floor(F.log2(F.greatest(F.col("full"), F.lit(1))))).select(F.col("r_idx").alias("root"), "chain_id")
     marked = out.join(ids, out["r_idx"] == ids["root"]).select("idx", F.col("chain_id").cast("bigint"), "chain_score")
     return spans.join(marked, spans[idx] == marked["idx"]).select(*[spans[c] for c in spans.columns], "chain_id", "chain_score")
 

@@ -5,14 +5,15 @@ run that cannot extend it closes it. A forward chain measures the other axis's g
 from its *start plus its key span*, which drifts from the last run's end, so the
 forward rule needs the chain's start and is a fold. What it cannot do without (one
 strand, a key gap in range, and on strand 1 the other gap, which is exact there) is
-checked against the row before, which cuts the sequence into segments first.
+checked against the row before, which cuts the sequence into segments first; a run
+alone in its segment is a chain as it is.
 """
 
 from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axismap.operators.canonical import canonical_runs
@@ -52,7 +53,10 @@ def chains(runs: DataFrame, key: str, max_gap: int, bin_width: int = BIN) -> Dat
 
     r = r.select("km", "om", *[F.col(f"seg.{c}").alias(f"s_{c}") for c in order], *order)
     seg = ["km", "om", *[f"s_{c}" for c in order]]
-    return ordered_fold(r, seg, order, [*seg, *order], fold, "km bigint, k bigint, om bigint, o bigint, len bigint, strand int")
+    r = r.withColumn("n", F.count("*").over(Window.partitionBy(*seg)))
+    out = ["km", "k", "om", "o", "len", "strand"]
+    folded = ordered_fold(r.filter("n > 1"), seg, order, [*seg, *order], fold, "km bigint, k bigint, om bigint, o bigint, len bigint, strand int", dealt=True)
+    return folded.unionByName(r.filter("n = 1").select(*out))
 
 
 def clip_to_members(closed: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def records(runs: DataFrame, members: DataFrame, max_gap: int = MAX_GAP, bin_wid
         m = members.filter(F.col("axis") == axis).select(F.col("member_id").alias(f"{axis}_member"), F.col("name").alias(f"{axis}_name"), F.col("length").alias(f"{axis}_length"))
         rec = rec.join(m, f"{axis}_member")
     heads = [F.col(f"head.{c}") for c in order]
-    return numbered(rec, ["a_name"], heads, "id").drop("head", "a_member", "b_member")
+    return numbered(rec, ["a_name"], heads, "id", bin_=F.floor(F.col("head.a") / bin_width)).drop("head", "a_member", "b_member")
 
 
 def _gaps(strand: Column) -> Column:

@@ -61,6 +61,8 @@ def merge(found: DataFrame, max_gap: int) -> DataFrame:
     reach = F.max(F.col("s0") + F.col("len")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     cut = found.withColumn("__reach", reach)
     cut = cut.withColumn("seg", F.sum((F.col("__reach").isNull() | (F.col("s0") - F.col("__reach") > max_gap)).cast("int")).over(by)).drop("__reach")
+    cut = cut.withColumn("__n", F.count("*").over(Window.partitionBy(*key, "seg")))
+    alone, several = cut.filter("__n = 1"), cut.filter("__n > 1").drop("__n")
 
     def fold(rows):
         for (q, m, strand, _), group in groupby(rows, key=lambda r: r[:4]):
@@ -83,7 +85,12 @@ def merge(found: DataFrame, max_gap: int) -> DataFrame:
 
     columns = [*key, "seg", *order]
     schema = "query_id bigint, member bigint, start bigint, end bigint, strand int, src_start bigint, src_end bigint, aligned_bp bigint"
-    return ordered_fold(cut, [*key, "seg"], order, columns, fold, schema)
+    return ordered_fold(several, [*key, "seg"], order, columns, fold, schema, dealt=True).unionByName(as_results(alone))
+
+
+def as_results(found: DataFrame) -> DataFrame:
+    """Each piece as a result of its own."""
+    return found.select("query_id", "member", F.col("t0").alias("start"), (F.col("t0") + F.col("len")).alias("end"), "strand", F.col("s0").alias("src_start"), (F.col("s0") + F.col("len")).alias("src_end"), F.col("len").alias("aligned_bp"))
 
 
 def lift(runs: DataFrame, intervals: DataFrame, source: str = "a", options: LiftOptions = LiftOptions(), width: int | None = None) -> DataFrame:
@@ -93,7 +100,7 @@ def lift(runs: DataFrame, intervals: DataFrame, source: str = "a", options: Lift
         found = best(found, options.overlap_frac, options.chain)
     if options.max_gap >= 0:
         return merge(found, options.max_gap)
-    return found.select("query_id", "member", F.col("t0").alias("start"), (F.col("t0") + F.col("len")).alias("end"), "strand", F.col("s0").alias("src_start"), (F.col("s0") + F.col("len")).alias("src_end"), F.col("len").alias("aligned_bp"))
+    return as_results(found)
 
 
 def min_match(lifted: DataFrame, intervals: DataFrame, fraction: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axismap.functions.coords import clipped
@@ -10,7 +10,7 @@ from axismap.operators.intervals import interval_join
 from axismap.schema import RUN_COLUMNS, MapError, as_runs, other
 
 #: The orders in which results are told, all columns of a run breaking ties.
-QUERY_ORDER = {"a": ["query_id", "a", "b", "len", "strand", "b_member"], "b": ["query_id", "b", "a_member", "a", "len", "strand"]}
+QUERY_ORDER = {"a": ["query_id", "a", "b", "len", "strand", "a_member", "b_member"], "b": ["query_id", "b", "a_member", "a", "len", "strand", "b_member"]}
 
 
 def check_windows(windows: DataFrame) -> None:
@@ -39,6 +39,21 @@ def point(runs: DataFrame, points: DataFrame, axis: str = "a", width: int | None
     return _joined(runs, windows, axis, width).select("query_id", *RUN_COLUMNS)
 
 
+def ranked(found: DataFrame, axis: str = "a") -> DataFrame:
+    """``found`` with ``nth``: the place of each result within its query, from 0, in the documented order."""
+    order = QUERY_ORDER[axis][1:]
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1)
+
+
+def point_capped(runs: DataFrame, points: DataFrame, cap: int, axis: str = "a", width: int | None = None) -> DataFrame:
+    """The first ``cap`` runs of each point in the documented order, with ``total``: how many cover it. With cap 0 only totals: query_id, total."""
+    met = point(runs, points, axis, width)
+    if cap <= 0:
+        return met.groupBy("query_id").agg(F.count("*").alias("total"))
+    total = F.count("*").over(Window.partitionBy("query_id"))
+    return ranked(met, axis).withColumn("total", total).filter(F.col("nth") < cap)
+
+
 def sweep(runs: DataFrame, windows: DataFrame, step: int, axis: str = "b", width: int | None = None) -> DataFrame:
     """Runs that cover every ``step``-th position of each window: query_id, pos and a run."""
     steps = windows.filter("lo < hi").select("query_id", "member", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step))).alias("pos"))

@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, at_once: int = 20_000) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, at_once: int = 20_000, dealt: bool = False) -> DataFrame:
     """Rows that ``fold`` makes of the rows (tuples of ``columns``) of each partition in turn.
 
-    All rows of one value of ``keys`` come together, sorted by ``order``.
+    All rows of one value of ``keys`` come together, sorted by ``order``. ``dealt`` says that
+    a window over some of ``keys`` has put them into one partition already.
     """
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns)
+    sorted_rows = (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).select(*columns)
     fields = [x.strip().split(" ") for x in schema.split(",")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     names, types = [f[0] for f in fields], [kinds[f[1]] for f in fields]

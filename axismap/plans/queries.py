@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axismap.operators import canonical, chain, coarsen, export, lift, members, query
 from axismap.plans import fixtures as fx
-from axismap.plans.align_map import AlignMap, swap_axes
-from axismap.schema import META, SECTIONS
+from axismap.plans.align_map import AlignMap, AlignMapBuilder, swap_axes
+from axismap.schema import GROUPS, META, SECTIONS
 from axismap.sources import store, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,32 @@ def _sightings(s: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
+def _sections(s: SparkSession, d: str) -> DataFrame:
+    data = s.createDataFrame([("x.notes", bytearray(b"kept as they are")), ("x.empty", bytearray()), ("x.bytes", bytearray(range(256)))], SECTIONS)
+    return replace(_map(s, d, "f"), sections=data).section_list()
+
+
+def _faulty_groups(s: SparkSession, d: str) -> DataFrame:
+    """Rules broken by a group name that is there twice, and by members of a group that is not."""
+    groups = s.createDataFrame([("a", 0, "gA"), ("a", 1, "gA"), ("b", 3, "gB")], GROUPS)
+    return canonical.integrity(_canon(s, d, "f"), fx.members(s, "f"), groups)
+
+
+def _declared_groups(s: SparkSession, d: str) -> DataFrame:
+    """Members in groups declared one by one."""
+    b = AlignMapBuilder(s, "paf", fx.runs(s, d, "f"), fx.members(s, "f").withColumn("group_id", F.lit(None).cast("bigint")))
+    odd, even, alone = b.add_group("a", "odd"), b.add_group("a", "even"), b.add_group("b", "alone")
+    for m in range(4):
+        b.set_member_group("a", m, odd if m % 2 else even)
+    return b.set_member_group("b", 2, alone).set_params(4096, 500_000, "snappy").close().members
+
+
+def _presorted(s: SparkSession, d: str) -> DataFrame:
+    """Runs that come member by member, built as presorted."""
+    runs = fx.runs(s, d, "f").withColumn("seq", F.col("a_member") * (1 << 40) + F.col("a"))
+    return AlignMapBuilder(s, "paf", found=fx.members(s, "f").withColumn("group_id", F.lit(None).cast("bigint"))).set_presorted(runs, "seq").close().runs
+
+
 QUERIES: dict[str, Query] = {
     "canonical_runs_f": lambda s, d: _canon(s, d, "f"),
     "canonical_runs_m": lambda s, d: _canon(s, d, "m"),
@@ -116,6 +143,16 @@ QUERIES: dict[str, Query] = {
     "cursor_b_whole_runs": lambda s, d: query.scan(_canon(s, d, "f"), "b", 2, lo=1000, hi=30_000_000),
     "cursor_group_filter": lambda s, d: query.scan(_canon(s, d, "f"), "a", others=fx.members(s, "f").filter("axis = 'b' and member_id in (1, 3)")),
     "cursor_extent": lambda s, d: query.extent(_canon(s, d, "f"), "b", others=fx.members(s, "f").filter("axis = 'a' and member_id < 2")),
+    "query_a_ranked": lambda s, d: query.ranked(query.query(_canon(s, d, "m"), fx.windows(s, d, "m"), "a"), "a"),
+    "query_b_ranked": lambda s, d: query.ranked(query.query(_canon(s, d, "f"), fx.windows(s, d, "b"), "b"), "b"),
+    "point_cap_a": lambda s, d: query.point_capped(_canon(s, d, "m"), _points(s, d, "m"), 3, "a"),
+    "point_totals_b": lambda s, d: query.point_capped(_canon(s, d, "f"), _points(s, d, "b"), 0, "b"),
+    "swap_info": lambda s, d: _map(s, d, "f").swap(allow_overlap=True).info(),
+    "coarsen_info": lambda s, d: _map(s, d, "f").coarsen("a", GAP).info(),
+    "section_list": _sections,
+    "verify_groups": _faulty_groups,
+    "builder_groups": _declared_groups,
+    "builder_presorted": _presorted,
     "point_a": lambda s, d: query.point(_canon(s, d, "m"), _points(s, d, "m"), "a"),
     "point_b": lambda s, d: query.point(_canon(s, d, "f"), _points(s, d, "b"), "b"),
     "point_sweep_b": lambda s, d: query.sweep(_canon(s, d, "f"), fx.windows(s, d, "b"), 50, "b"),
@@ -251,7 +288,92 @@ _RUNNING = "SELECT coalesce(sum((a < reach)::INT), 0)::BIGINT AS overlapping_run
 _POINT = f"SELECT query_id, {_LEFT} FROM c JOIN w ON {{x}}_member = member AND {{x}} <= lo AND {{x}} + len > lo"
 _MINIMUM = "SELECT lifted.* FROM lifted JOIN w USING (query_id) WHERE NOT aligned_bp < 0.25::DOUBLE * (hi - lo)"
 
+def _links_sql(spans: str, key: str, order: str, p: chain.ChainParams) -> str:
+    """CTEs over spans (``key`` columns, strand, t_member, qs, qe, ts, te, own, idx): ``n`` has the best score of each and what it is linked to,
+    ``root`` the span that heads its chain, ``ids`` the chains with their scores, numbered along ``order``."""
+    cols = [c.strip() for c in key.split(",")]
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in cols)
+    of = lambda x: ", ".join(f"{x}.{c}" for c in cols)
+    gap = "r.qs - x.qe + r.ts - x.te"
+    cost = f"(CASE WHEN {gap} = 0 THEN 0 ELSE {p.open} + {p.extend} * ({gap}) END)"
+    can = f"r.qs >= x.qe AND r.ts >= x.te AND r.qs - x.qe <= {p.max_gap} AND r.ts - x.te <= {p.max_gap} AND {cost} < r.own AND x.best > {cost}"
+    found = f"list_reverse_sort(list_transform(list_filter(f.xs, lambda x: {can}), lambda x: {{'v': x.best - {cost}, 'te': x.te, 'qe': x.qe, 'qs': x.qs, 'ts': x.ts, 'rn': x.rn}}))[1]"
+    new = lambda best: f"{{'te': te, 'qe': qe, 'qs': qs, 'ts': ts, 'rn': rn, 'best': {best}}}"
+    return f"""sp AS ({spans}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY qs, ts, te, qe, idx) AS rn FROM sp),
+f AS (SELECT {key}, rn, qs, qe, ts, te, own, idx, own AS best, 0::BIGINT AS prev, [{new("own")}] AS xs FROM r WHERE rn = 1
+  UNION ALL SELECT {key}, rn, qs, qe, ts, te, own, idx, own + coalesce(c.v, 0), coalesce(c.rn, 0), list_append(list_filter(xs, lambda x: x.qe >= qs - {p.max_gap}), {new("own + coalesce(c.v, 0)")})
+  FROM (SELECT r.*, f.xs, {found} AS c FROM f JOIN r ON {on("f", "r")} AND r.rn = f.rn + 1) z),
+n AS (SELECT * EXCLUDE (xs) FROM f),
+up AS (SELECT {key}, rn AS head, rn AS at, prev FROM n UNION ALL SELECT {of("up")}, up.head, n.rn, n.prev FROM up JOIN n ON {on("up", "n")} AND n.rn = up.prev WHERE up.prev > 0),
+root AS (SELECT {of("up")}, up.at AS rn, up.head FROM up JOIN n h ON {on("up", "h")} AND h.rn = up.head
+  QUALIFY row_number() OVER (PARTITION BY {of("up")}, up.at ORDER BY h.best DESC, h.qs DESC, h.ts DESC, h.qe DESC, h.te DESC, h.rn DESC) = 1),
+ends AS (SELECT {key}, head, min(rn) AS last FROM root GROUP BY {key}, head),
+ids AS (SELECT {of("ends")}, ends.head, h.best - l.best + l.own AS score, row_number() OVER ({order}, ends.strand DESC, h.best DESC, h.qs DESC, h.ts DESC, h.qe DESC, h.te DESC, ends.t_member DESC, h.idx DESC) AS chain_id
+  FROM ends JOIN n h ON {on("ends", "h")} AND h.rn = ends.head JOIN n l ON {on("ends", "l")} AND l.rn = ends.last)"""
+
+
+_SPANS = "SELECT a_member AS q_member, strand, b_member AS t_member, CASE WHEN strand = 1 THEN -(a + len) ELSE a END AS qs, CASE WHEN strand = 1 THEN -a ELSE a + len END AS qe, b AS ts, b + len AS te, len AS own, a AS idx FROM c"
+
+
+def _pick_sql(by: str) -> str:
+    """CTEs over ``part`` (``by``, chain_id, score, s, e) that end in ``kept``: chains whose query cover meets no better one's."""
+    meets = "len(list_filter(k.cover, lambda c: len(list_filter(o.parts, lambda p: p.s < c.e AND p.e > c.s)) > 0)) > 0"
+    return f"""o AS (SELECT {by}, chain_id, list({{'s': s, 'e': e}}) AS parts, row_number() OVER (PARTITION BY {by} ORDER BY any_value(score) DESC, chain_id) AS nth FROM part GROUP BY {by}, chain_id),
+kept AS (SELECT {by}, chain_id, nth, true AS keep, parts AS cover FROM o WHERE nth = 1
+  UNION ALL SELECT o.{by}, o.chain_id, o.nth, NOT ({meets}), CASE WHEN {meets} THEN k.cover ELSE list_concat(k.cover, o.parts) END FROM kept k JOIN o ON o.{by} = k.{by} AND o.nth = k.nth + 1)"""
+
+
+def _chained_sql() -> str:
+    """CTEs that end in ``chained``: every span with its chain."""
+    return f"""{_with("f")}, {_links_sql(_SPANS, "q_member, strand, t_member", "ORDER BY ends.q_member", PARAMS)},
+chained AS (SELECT n.*, ids.chain_id, ids.score FROM n JOIN root USING (q_member, strand, t_member, rn) JOIN ids USING (q_member, strand, t_member, head))"""
+
+
+def _best_sql() -> str:
+    pieces = f"SELECT query_id, a AS s0, b_member AS member, b AS t0, len, strand FROM ({_pieces_sql('a')}) x"
+    spans = """SELECT query_id, strand, member AS t_member, CASE WHEN strand = 1 THEN -(s0 + len) ELSE s0 END AS qs, CASE WHEN strand = 1 THEN -s0 ELSE s0 + len END AS qe, t0 AS ts, t0 + len AS te, len AS own,
+    row_number() OVER (PARTITION BY query_id ORDER BY s0, t0, len, strand, member) AS idx FROM pc"""
+    return f"""{_with("m", "m")}, pc AS ({pieces}), {_links_sql(spans, "query_id, strand, t_member", "PARTITION BY ends.query_id ORDER BY ends.query_id", chain.ChainParams())},
+chained AS (SELECT n.*, ids.chain_id, ids.score FROM n JOIN root USING (query_id, strand, t_member, rn) JOIN ids USING (query_id, strand, t_member, head)),
+part AS (SELECT query_id, chain_id, score, CASE WHEN strand = 1 THEN -qe ELSE qs END AS s, CASE WHEN strand = 1 THEN -qs ELSE qe END AS e FROM chained), {_pick_sql("query_id")}
+SELECT query_id, t_member AS member, ts AS start, te AS "end", strand, CASE WHEN strand = 1 THEN -qe ELSE qs END AS src_start, CASE WHEN strand = 1 THEN -qs ELSE qe END AS src_end, own AS aligned_bp
+FROM chained JOIN kept USING (query_id, chain_id) WHERE keep"""
+
+
+def _info_sql(runs: str, extra: str, turned: bool = False) -> str:
+    """What ``info`` tells of a map of ``runs``: order and overlap follow from them."""
+    a, b = ("gB", "gA") if turned else ("gA", "gB")
+    axis = "CASE WHEN axis = 'a' THEN 'b' ELSE 'a' END" if turned else "axis"
+    return f"""{_with('f')}, x AS ({runs}), m2 AS (SELECT {axis} AS axis, length FROM m),
+v AS (SELECT coalesce(sum((a < pa + pl)::INT), 0) AS n FROM (SELECT a, lag(a) OVER o AS pa, lag(len) OVER o AS pl FROM x WINDOW o AS (PARTITION BY a_member ORDER BY a, b_member, b, len, strand)) y)
+SELECT 'sequences_' || axis AS key, count(*)::VARCHAR AS value FROM m2 GROUP BY axis
+UNION ALL SELECT 'runs', count(*)::VARCHAR FROM x
+UNION ALL SELECT 'order', CASE WHEN n > 0 THEN 'b' ELSE 'a' END FROM v UNION ALL SELECT 'axis_a_overlaps', CASE WHEN n > 0 THEN 'yes' ELSE 'no' END FROM v
+UNION ALL SELECT * FROM (VALUES ('profile', 'paf'), ('meta.source', 'f'){extra})
+UNION ALL SELECT 'group.' || axis || '.' || CASE WHEN axis = 'a' THEN '{a}' ELSE '{b}' END, count(*) || ' sequences ' || sum(length)::BIGINT || ' bp' FROM m2 GROUP BY axis"""
+
+
+def _ranked_sql(axis: str) -> str:
+    order = "a, b, len, strand, a_member, b_member" if axis == "a" else "b, a_member, a, len, strand, b_member"
+    return f"SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY {order}) - 1)::INT AS nth FROM ({_pieces_sql(axis)}) x"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "query_a_ranked": f"{_with('m', 'm')} {_ranked_sql('a')}",
+    "query_b_ranked": f"{_with('f', 'b')} {_ranked_sql('b')}",
+    "point_cap_a": f"""{_with('m', 'm')} SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY a, b, len, strand, a_member, b_member) - 1)::INT AS nth, count(*) OVER (PARTITION BY query_id) AS total
+FROM ({_POINT.format(x='a')}) x) y WHERE nth < 3""",
+    "point_totals_b": f"{_with('f', 'b')} SELECT query_id, count(*) AS total FROM ({_POINT.format(x='b')}) x GROUP BY query_id",
+    "swap_info": _info_sql("SELECT b_member AS a_member, b AS a, a_member AS b_member, a AS b, len, strand FROM c", "", True),
+    "section_list": "SELECT * FROM (VALUES ('x.notes', 16::BIGINT), ('x.empty', 0::BIGINT), ('x.bytes', 256::BIGINT)) t(id, bytes)",
+    "builder_groups": f"SELECT axis, member_id, name, length, CASE WHEN axis = 'a' THEN 1 - member_id % 2 WHEN member_id = 2 THEN 0 END AS group_id FROM ({_members_sql('f')}) m",
+    "builder_presorted": _runs_sql("f"),
+    "chain_spans": f"""{_chained_sql()} SELECT q_member, t_member, CASE WHEN strand = 1 THEN -qe ELSE qs END AS q_start, CASE WHEN strand = 1 THEN -qs ELSE qe END AS q_end, ts AS t_start, te AS t_end, strand, own AS score, idx, chain_id, chained.score AS chain_score FROM chained""",
+    "chain_infos": f"{_chained_sql()} SELECT chain_id, any_value(score) AS score, sum(qe - qs)::BIGINT AS bp, count(*) AS n_spans FROM chained GROUP BY chain_id",
+    "chain_select": f"""{_chained_sql()}, part AS (SELECT q_member, chain_id, score, CASE WHEN strand = 1 THEN -qe ELSE qs END AS s, CASE WHEN strand = 1 THEN -qs ELSE qe END AS e FROM chained), {_pick_sql("q_member")}
+SELECT chain_id, keep FROM kept""",
+    "lift_best0": _best_sql(),
     "canonical_runs_f": _runs_sql("f"),
     "canonical_runs_m": _runs_sql("m"),
     "build_stats": f"SELECT (SELECT count(*) FROM lineitem) AS input_runs, count(*) AS runs FROM ({_runs_sql('m')}) x",
@@ -308,6 +430,8 @@ SELECT query_id, concat_ws(chr(9), m.name, start, "end", concat('w', query_id),
     "coarsen_a_0": _coarsen_sql("a", 0),
     "coarsen_a_40": _coarsen_sql("a", GAP),
     "coarsen_b_40": _coarsen_sql("b", GAP),
+    "coarsen_info": _info_sql(_coarsen_sql("a", GAP), ", ('meta.max_gap', '40')"),
+    "verify_groups": """SELECT * FROM (VALUES ('negative_coordinate', 0::BIGINT), ('empty_run', 0), ('strand', 0), ('undeclared_a', 0), ('undeclared_b', 0), ('outside_a', 0), ('outside_b', 0), ('duplicate_name', 0), ('duplicate_group', 1), ('undeclared_group', 5)) t(rule, faults)""",
     "coarsen_clip": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 0::BIGINT, 80::BIGINT, 20::BIGINT, 0, 8::BIGINT), (1, 8, 1, 80, 20, 1, 8)) t(km, k, om, o, len, strand, excess)",
     "coarsen_stats": f"""{_with('f')}, {_chains_sql('a', GAP)}, z AS (SELECT *, greatest(0, o + len - {fx.B_LENGTH['f']}) AS e FROM closed)
 SELECT (SELECT count(*) FROM c) AS runs_in, (SELECT count(*) FROM z WHERE e < len) AS chains_out, (SELECT coalesce(sum(e), 0)::BIGINT FROM z WHERE e < len) AS clipped_bp, (SELECT count(*) FROM z WHERE e >= len) AS dropped""",

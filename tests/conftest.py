@@ -19,13 +19,22 @@ def spark():
     shared = tempfile.mkdtemp(prefix="axismap-tests-")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.sql.maxMetadataStringLength", "2000").config("spark.checkpoint.dir", shared).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.sql.maxMetadataStringLength", "2000").config("spark.checkpoint.dir", shared)
+        .config("spark.sql.ui.retainedExecutions", "5").config("spark.ui.retainedJobs", "20").config("spark.ui.retainedStages", "20").config("spark.sql.maxPlanStringLength", "200000").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def _fresh_cache(request):
+    """What a test persisted goes with it."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
