@@ -1,7 +1,9 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 A fingerprint has 64 bits from the XXH64 hashes of a text's 4-word shingles. The
-bits are grouped, correlated ones together, into ``PARTS`` partitions of 16. For a
+bits are grouped, correlated ones together, into partitions: four of 16 bits, or three
+of 21 or 22 beyond ``WIDER`` distinct fingerprints, so that a partition value stands for
+few of them; both find the same links. For a
 pair at distance ``d <= radius`` and thresholds t_i >= -1 with sum(t_i + 1) =
 radius + 1, some partition of the pair differs in at most t_i bits. Each
 fingerprint picks its own thresholds by dynamic programming over estimated
@@ -15,7 +17,7 @@ becomes a grid of cells on several tasks, so nothing is capped. A task returns a
 spanning forest of the links that it found, never all pairs. Components come from
 alternating large-star and small-star rounds over those forests, each round a
 written table; joins on a hub can be split by the adaptive skew join. The driver
-gets bit pair counts (2,080 rows) and the histograms (at most 4 x 65,536 rows).
+gets bit pair counts (2,080 rows) and the histograms (at most 4 x 65,536 rows, or 2^23).
 
 Defined results: a null, empty or blank text has fingerprint zero and links like
 any other; fewer than four words are one shingle; ties of the half (as many ones
@@ -40,8 +42,7 @@ SHINGLE = 4
 SEED = 42
 BITS = 64
 RADIUS = 4
-PARTS = 4
-WIDTH = BITS // PARTS
+PARTS, WIDER = 4, 1 << 27
 MAX_THRESHOLD = 2
 CELL = 4096
 PROBE_COST = 4
@@ -102,18 +103,18 @@ def bit_pairs(unique: DataFrame) -> np.ndarray:
     return out
 
 
-def group_bits(both: np.ndarray, n: int) -> list[list[int]]:
-    """Bits in partitions of equal width, each grown by the bit most correlated with it."""
+def group_bits(both: np.ndarray, n: int, parts: int = PARTS) -> list[list[int]]:
+    """Bits in ``parts`` partitions of near equal width, each grown by the bit most correlated with it."""
     p = both.diagonal() / max(1, n)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     related = np.abs(both / max(1, n) - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(related, 0)
     left, groups = set(range(BITS)), []
-    for _ in range(PARTS):
+    for k in range(parts):
         pool = sorted(left)
         a, b = max(combinations(pool, 2), key=lambda x: related[x])
         group = [a, b]
-        while len(group) < WIDTH:
+        while len(group) < -(-len(pool) // (parts - k)):
             rest = [x for x in pool if x not in group]
             group.append(max(rest, key=lambda x: related[x, group].sum()))
         left -= set(group)
@@ -122,7 +123,7 @@ def group_bits(both: np.ndarray, n: int) -> list[list[int]]:
 
 
 def part_values(fp: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """The value of each partition of each fingerprint: n x PARTS."""
+    """The value of each partition of each fingerprint: n x partitions."""
     out = np.zeros((len(fp), len(groups)), np.uint32)
     for i, group in enumerate(groups):
         for j, bit in enumerate(group):
@@ -130,62 +131,68 @@ def part_values(fp: np.ndarray, groups: list[list[int]]) -> np.ndarray:
     return out
 
 
-def ball(radius: int) -> np.ndarray:
-    """The masks of at most ``radius`` of WIDTH bits, nearest first."""
-    return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(WIDTH), r)], np.uint32)
+def ball(radius: int, width: int) -> np.ndarray:
+    """The masks of at most ``radius`` of ``width`` bits, nearest first."""
+    return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)], np.uint32)
+
+
+def offsets(groups: list[list[int]]) -> np.ndarray:
+    """Where the values of each partition start in the codes of all, and their number."""
+    return np.cumsum([0, *(1 << len(g) for g in groups)])
 
 
 def histograms(unique: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """How many fingerprints have each value of each partition, over all of them."""
+    """By code (partition and value), how many fingerprints have it, over all of them."""
+    first = offsets(groups)
 
     def run(batches):
-        counts = np.zeros((PARTS, 1 << WIDTH), np.int64)
+        counts = np.zeros(int(first[-1]), np.int64)
         for b in batches:
             v = part_values(_fps(b), groups)
-            for i in range(PARTS):
-                counts[i] += np.bincount(v[:, i], minlength=1 << WIDTH)
+            for i in range(len(groups)):
+                counts[first[i] : first[i + 1]] += np.bincount(v[:, i], minlength=1 << len(groups[i]))
         code = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(counts.ravel()[code])], ["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(counts[code])], ["code", "n"])
 
     found = unique.select("fp").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(PARTS << WIDTH, np.int64)
+    out = np.zeros(int(first[-1]), np.int64)
     out[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(PARTS, -1)
-
-
-def candidate_counts(hist: np.ndarray) -> np.ndarray:
-    """By threshold 0 to MAX_THRESHOLD, partition and value: fingerprints within it."""
-    values = np.arange(1 << WIDTH, dtype=np.uint32)
-    masks = ball(MAX_THRESHOLD)
-    sizes = [len(ball(r)) for r in range(MAX_THRESHOLD + 1)]
-    out, total, done = [], np.zeros_like(hist), 0
-    for size in sizes:
-        for m in masks[done:size]:
-            total = total + hist[:, values ^ m]
-        done = size
-        out.append(total)
-    return np.stack(out)
-
-
-def allocate(values: np.ndarray, counts: np.ndarray, radius: int) -> np.ndarray:
-    """Thresholds (n x PARTS, -1 and up) of least estimated cost that sum to radius + 1 - PARTS."""
-    n, units = len(values), radius + 1
-    probes = [0, *(len(ball(r)) for r in range(MAX_THRESHOLD + 1))]
+    return out
+
+
+def candidate_counts(hist: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """By threshold 0 to MAX_THRESHOLD and code: fingerprints within it."""
+    first, out = offsets(groups), np.zeros((MAX_THRESHOLD + 1, len(hist)), np.int64)
+    for i, group in enumerate(groups):
+        own, values, total, done = hist[first[i] : first[i + 1]], np.arange(1 << len(group), dtype=np.uint32), 0, 0
+        masks = ball(MAX_THRESHOLD, len(group))
+        for t in range(MAX_THRESHOLD + 1):
+            size = len(ball(t, len(group)))
+            for m in masks[done:size]:
+                total = total + own[values ^ m]
+            out[t, first[i] : first[i + 1]], done = total, size
+    return out
+
+
+def allocate(codes: np.ndarray, counts: np.ndarray, radius: int, widths: list[int]) -> np.ndarray:
+    """Thresholds (n x partitions, -1 and up) of least estimated cost; one more each, they sum to radius + 1."""
+    n, units = len(codes), radius + 1
     best = np.full((n, units + 1), np.inf)
     best[:, 0] = 0
     picks = []
-    for i in range(PARTS):
+    for i, width in enumerate(widths):
+        probes = [0, *(len(ball(r, width)) for r in range(MAX_THRESHOLD + 1))]
         grown, pick = np.full((n, units + 1), np.inf), np.zeros((n, units + 1), np.int8)
         for take in range(min(units, MAX_THRESHOLD + 1) + 1):
-            cost = counts[take - 1, i, values[:, i]] + PROBE_COST * probes[take] if take else np.zeros(n)
+            cost = counts[take - 1, codes[:, i]] + PROBE_COST * probes[take] if take else np.zeros(n)
             for u in range(take, units + 1):
                 total = best[:, u - take] + cost
                 better = total < grown[:, u]
                 grown[better, u], pick[better, u] = total[better], take
         best = grown
         picks.append(pick)
-    out, at, row = np.zeros((n, PARTS), np.int8), np.full(n, units), np.arange(n)
-    for i in reversed(range(PARTS)):
+    out, at, row = np.zeros((n, len(widths)), np.int8), np.full(n, units), np.arange(n)
+    for i in reversed(range(len(widths))):
         out[:, i] = picks[i][row, at] - 1
         at = at - picks[i][row, at]
     return out
@@ -198,13 +205,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def signature_rows(fp: np.ndarray, groups: list[list[int]], hist: np.ndarray, counts: np.ndarray, radius: int) -> np.ndarray:
     """Index and probe rows of fingerprints; those of a large value for each cell of its grid."""
-    values = part_values(fp, groups)
-    limits = allocate(values, counts, radius)
+    first, widths = offsets(groups), [len(g) for g in groups]
+    codes = part_values(fp, groups).astype(np.int64) + first[:-1]
+    limits = allocate(codes, counts, radius, widths)
     mixed = _mix(fp)
     parts = []
 
     def put(code: np.ndarray, who: np.ndarray, role: int) -> None:
-        across, down = -(-hist.ravel()[code] // CELL), -(-counts[1].ravel()[code] // CELL)
+        across, down = -(-hist[code] // CELL), -(-counts[1, code] // CELL)
         across, down = np.maximum(across, 1), np.maximum(down, 1)
         own, other = (across, down) if role == INDEX else (down, across)
         mine = (mixed[who] % own.astype(np.uint64)).astype(np.int64)
@@ -217,12 +225,12 @@ def signature_rows(fp: np.ndarray, groups: list[list[int]], hist: np.ndarray, co
         parts.append(rows)
 
     every = np.arange(len(fp))
-    for i in range(PARTS):
-        put((values[:, i] | np.uint32(i << WIDTH)).astype(np.int64), every, INDEX)
+    for i, width in enumerate(widths):
+        put(codes[:, i], every, INDEX)
         for t in range(MAX_THRESHOLD + 1):
             who = np.flatnonzero(limits[:, i] >= t)
-            for m in ball(t)[len(ball(t - 1)) if t else 0 :]:
-                put(((values[who, i] ^ m) | np.uint32(i << WIDTH)).astype(np.int64), who, PROBE)
+            for m in ball(t, width)[len(ball(t - 1, width)) if t else 0 :].tolist():
+                put(first[i] + ((codes[who, i] - first[i]) ^ m), who, PROBE)
     return np.concatenate(parts)
 
 
@@ -268,11 +276,11 @@ def links_within(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return nodes[linked], nodes[label[linked]]
 
 
-def links(unique: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+def links(unique: DataFrame, n: int, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
     """(u, v): links whose components are those of all pairs within ``radius``."""
-    groups = group_bits(bit_pairs(unique), n)
+    groups = group_bits(bit_pairs(unique), n, parts or (PARTS if n <= WIDER else PARTS - 1))
     hist = histograms(unique, groups)
-    counts = candidate_counts(hist)
+    counts = candidate_counts(hist, groups)
     tasks = max(int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * 24 // ROWS_PER_TASK))
     shared = unique.sparkSession.sparkContext.broadcast((groups, hist, counts))
 

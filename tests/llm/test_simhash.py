@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from axismap.llm import simhash
 
@@ -38,18 +39,24 @@ def test_fingerprints(odd_rows):
         assert simhash.fingerprint(t) == plain(t)
 
 
-def test_thresholds_sum_and_find_all_near_pairs():
+@pytest.mark.parametrize("parts", [4, 3])
+def test_thresholds_sum_and_find_all_near_pairs(parts):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     fp = np.unique(np.concatenate([base ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64) for _ in range(k)]) for k in range(1, 9)]))
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
-    groups = simhash.group_bits((bits.T @ bits).astype(np.int64), len(fp))
-    assert sorted(b for g in groups for b in g) == list(range(64))
-    values = simhash.part_values(fp, groups)
-    hist = np.stack([np.bincount(values[:, i], minlength=1 << simhash.WIDTH) for i in range(simhash.PARTS)])
-    counts = simhash.candidate_counts(hist)
-    limits = simhash.allocate(values, counts, 4)
-    assert (limits.sum(1) == 4 + 1 - simhash.PARTS).all() and limits.min() >= -1
+    groups = simhash.group_bits((bits.T @ bits).astype(np.int64), len(fp), parts)
+    assert sorted(b for g in groups for b in g) == list(range(64)) and max(map(len, groups)) - min(map(len, groups)) <= 1
+    first = simhash.offsets(groups)
+    codes = simhash.part_values(fp, groups).astype(np.int64) + first[:-1]
+    hist = np.bincount(codes.ravel(), minlength=int(first[-1]))
+    counts = simhash.candidate_counts(hist, groups)
+    for k in (0, 7):
+        for i in range(parts):
+            near = sum(bin(int(codes[k, i] - first[i]) ^ int(c - first[i])).count("1") <= 2 for c in codes[:, i])
+            assert counts[2, codes[k, i]] == near
+    limits = simhash.allocate(codes, counts, 4, [len(g) for g in groups])
+    assert (limits.sum(1) == 4 + 1 - parts).all() and limits.min() >= -1
     for cell in (simhash.CELL, 3):  # a tiny cell makes grids of every value
         old, simhash.CELL = simhash.CELL, cell
         rows = simhash.signature_rows(fp, groups, hist, counts, 4)
