@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,7 +14,7 @@ from axismap.operators import canonical, chain, coarsen, export, lift, members,
 from axismap.plans import fixtures as fx
 from axismap.plans.align_map import AlignMap, AlignMapBuilder, swap_axes
 from axismap.schema import GROUPS, META, SECTIONS
-from axismap.sources import store, text
+from axismap.sources import container, store, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 GAP = 40
@@ -113,6 +115,22 @@ def _presorted(s: SparkSession, d: str) -> DataFrame:
     return AlignMapBuilder(s, "paf", found=fx.members(s, "f").withColumn("group_id", F.lit(None).cast("bigint"))).set_presorted(runs, "seq").close().runs
 
 
+def _boxed(s: SparkSession, d: str, kind: str) -> str:
+    """The path of a container that holds the map: order a, or with overlaps order b."""
+    folder = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="axismap-")).rstrip("/")
+    fs, inside = container.located(folder)
+    fs.create_dir(inside, recursive=True)
+    path = f"{folder}/map-{uuid.uuid4().hex}.bin"
+    _map(s, d, kind).write_container(path)
+    return path
+
+
+def _boxed_sections(s: SparkSession, d: str) -> DataFrame:
+    """What a container tells besides its runs: members with groups, metadata, order."""
+    m = AlignMap.read_container(s, _boxed(s, d, "m"))
+    return m.info().union(m.members.select(F.concat_ws(".", F.lit("member"), "axis", "name"), F.concat_ws(" ", "member_id", "length", "group_id")))
+
+
 QUERIES: dict[str, Query] = {
     "canonical_runs_f": lambda s, d: _canon(s, d, "f"),
     "canonical_runs_m": lambda s, d: _canon(s, d, "m"),
@@ -150,6 +168,12 @@ QUERIES: dict[str, Query] = {
     "swap_info": lambda s, d: _map(s, d, "f").swap(allow_overlap=True).info(),
     "coarsen_info": lambda s, d: _map(s, d, "f").coarsen("a", GAP).info(),
     "section_list": _sections,
+    "container_order_a": lambda s, d: container.runs(s, _boxed(s, d, "f")),
+    "container_order_b": lambda s, d: container.runs(s, _boxed(s, d, "m")),
+    "container_window_a": lambda s, d: container.runs(s, _boxed(s, d, "f"), "a", 1, 1000, 400_000),
+    "container_window_b": lambda s, d: container.runs(s, _boxed(s, d, "m"), "b", 2, 2000, 99_950_000),
+    "container_info": _boxed_sections,
+    "container_verify": lambda s, d: s.sql(f"SELECT '{container.verify(s, _boxed(s, d, 'm'))}' AS verdict"),
     "verify_groups": _faulty_groups,
     "builder_groups": _declared_groups,
     "builder_presorted": _presorted,
@@ -365,6 +389,12 @@ ORACLE_SQL: dict[str, str] = {
     "point_cap_a": f"""{_with('m', 'm')} SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY a, b, len, strand, a_member, b_member) - 1)::INT AS nth, count(*) OVER (PARTITION BY query_id) AS total
 FROM ({_POINT.format(x='a')}) x) y WHERE nth < 3""",
     "point_totals_b": f"{_with('f', 'b')} SELECT query_id, count(*) AS total FROM ({_POINT.format(x='b')}) x GROUP BY query_id",
+    "container_order_a": _runs_sql("f"),
+    "container_order_b": _runs_sql("m"),
+    "container_window_a": f"SELECT * FROM ({_runs_sql('f')}) c WHERE a_member = 1 AND a < 400000 AND a + len > 1000",
+    "container_window_b": f"SELECT * FROM ({_runs_sql('m')}) c WHERE b_member = 2 AND b < 99950000 AND b + len > 2000",
+    "container_info": f"{_with('m')} {_INFO} UNION ALL SELECT 'member.' || axis || '.' || name, concat_ws(' ', member_id, length, group_id) FROM m",
+    "container_verify": "SELECT 'OK' AS verdict",
     "swap_info": _info_sql("SELECT b_member AS a_member, b AS a, a_member AS b_member, a AS b, len, strand FROM c", "", True),
     "section_list": "SELECT * FROM (VALUES ('x.notes', 16::BIGINT), ('x.empty', 0::BIGINT), ('x.bytes', 256::BIGINT)) t(id, bytes)",
     "builder_groups": f"SELECT axis, member_id, name, length, CASE WHEN axis = 'a' THEN 1 - member_id % 2 WHEN member_id = 2 THEN 0 END AS group_id FROM ({_members_sql('f')}) m",

@@ -15,6 +15,7 @@ and driver both must reach them.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -192,7 +193,7 @@ class Container:
         self.page_crcs = dict(zip(("dir.a", "dir.a.max", "dir.b"), np.frombuffer(crcs, "<u4", offset=32).reshape(3, pages), strict=True))
 
     def _open(self) -> None:
-        fs, path = pa.fs.FileSystem.from_uri(self.path)
+        fs, path = located(self.path)
         self._file = fs.open_input_file(path)
 
     def __getstate__(self) -> dict:
@@ -292,6 +293,11 @@ class Container:
         return dict(zip(out[::2], out[1::2], strict=True))
 
 
+def located(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and the path in it; ``file:/x`` is as good as ``file:///x``."""
+    return pa.fs.FileSystem.from_uri(re.sub("^file:(?=/[^/])", "file://", path))
+
+
 def _tiles(rows: np.ndarray) -> bool:
     used = rows[rows["n_chunks"] > 0]
     used = used[np.argsort(used["first_chunk"], kind="stable")]
@@ -494,7 +500,7 @@ def write(path: str, runs_: DataFrame, members: DataFrame, groups: DataFrame, me
     profile, order, overlap = told.pop("profile", ""), told.pop("order", "a"), told.pop("axis_a_overlaps", "no") == "yes"
     by_b = order == "b"
     head = HEADER.pack(MAGIC, MAJOR, 0, (ORDER_B if by_b else 0) | (A_OVERLAP if overlap else 0), profile.encode()[:31], 0)
-    fs, where = pa.fs.FileSystem.from_uri(path)
+    fs, where = located(path)
     table: list[tuple[str, int, int, int]] = []
     with fs.open_output_stream(where + ".part") as out:
         at = out.write(head)
