@@ -43,3 +43,19 @@ def test_run(spark):
 
     got = cp.run(spark, DATA)
     assert got.count() > 50 and "sequence_id" in got.columns
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_of_empty_and_odd_tables(spark, docs, odd_rows, empty):
+    import corpus_pipeline as cp
+    from axismap.llm.tables import stash
+
+    long = "A text that is long enough to be told apart from all others, with words of its own. " * 3
+    df = docs([] if empty else [*odd_rows, (None, long), (None, long), (40, long + "And an end."), (41, None)])
+    for name, stage in cp.STAGES[:-1]:
+        out = stash(stage(spark, df, DATA), f"test-{name}")
+        assert out.columns == df.columns and out.count() <= df.count()
+        df = out
+    packed = cp.STAGES[-1][1](spark, df, DATA)
+    assert packed.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+    assert empty == (packed.count() == 0)
