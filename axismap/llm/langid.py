@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import slices, unused
+from axismap.llm.tables import kept_for, slices, unused
 
 UNKNOWN = "und"
 DOCS_PER_LANG = 2000
@@ -128,15 +128,13 @@ class Scorer:
         return self.model.langs[best], float(chance[best] / chance.sum())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
     """The scorer of a broadcast model, one per worker process, so that tasks share its memory."""
-    if id(shared.value) not in _scorers:
-        _scorers.clear()
-        _scorers[id(shared.value)] = Scorer(shared.value)
-    return _scorers[id(shared.value)]
+    kept = kept_for("langid")
+    if kept.get("model") is not shared.value:
+        kept.clear()
+        kept.update(model=shared.value, scorer=Scorer(shared.value))
+    return kept["scorer"]
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:

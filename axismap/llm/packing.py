@@ -37,7 +37,6 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axismap.llm.tables import slices, stash
+from axismap.llm.tables import kept_for, slices, stash
 
 CAPACITY = 1024
 END_ID = 2
@@ -117,10 +116,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
-@cache
 def ids_of(path: str | None) -> Ids:
     """One of a worker process."""
-    return Ids(path)
+    kept = kept_for("packing")
+    if path not in kept:
+        kept[path] = Ids(path)
+    return kept[path]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axismap.llm.langid import held_out
-from axismap.llm.tables import slices, stash
+from axismap.llm.tables import kept_for, slices, stash
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -116,16 +116,13 @@ class Scorer:
         return float(1 / (1 + np.exp(-(total / max(1, n) + self.bias))))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
     """The scorer of a broadcast model, one per worker process, so that its tasks share known words."""
-    if id(shared.value) not in _scorers:
-        _scorers.clear()
-        _scorers[id(shared.value)] = Scorer(*shared.value)
-        _scorers[id(shared.value)].model = shared.value  # held, so that its id stays its own
-    return _scorers[id(shared.value)]
+    kept = kept_for("quality")
+    if kept.get("model") is not shared.value:
+        kept.clear()
+        kept.update(model=shared.value, scorer=Scorer(*shared.value))
+    return kept["scorer"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axismap.llm.tables import stash
+from axismap.llm.tables import kept_for, stash
 
 LENGTH = 100
 GRAM = 32
@@ -218,6 +218,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
     """(block, size, body): rows of ``docs`` as compressed Arrow slices of about BLOCK_BYTES of text."""
 
     def run(batches):
+        kept_for("suffix")
         task, made, squeeze = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         for b in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -56,6 +56,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What a worker process keeps between tasks of an operator; what it kept for others goes, which bounds its memory."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
