@@ -57,8 +57,9 @@ def interval_join(windows: DataFrame, runs: DataFrame, member: str, lo: str, hi:
     """Pairs of a window [lo, hi) and a run [start, start+n) of one member that overlap.
 
     A pair counts in the first bin that both touch, so no distinct is needed. Empty windows
-    meet nothing. A crowded bin is split by the adaptive skew join. With ``width`` nothing is
-    measured. Column names of the sides must differ.
+    meet nothing. A crowded bin is split by the adaptive skew join. Neither side is broadcast:
+    both are spread, which Spark's estimates of their sizes leave out. With ``width`` nothing
+    is measured. Column names of the sides must differ.
     """
     width, used = (width, list(range(LEVELS))) if width else measured(windows, lo, hi)
     end = F.col(start) + F.col(n)
@@ -74,4 +75,4 @@ def interval_join(windows: DataFrame, runs: DataFrame, member: str, lo: str, hi:
     met = (F.col(member) == F.col(run_member)) & (F.col("__level") == F.col("__run_level")) & (F.col("__bin") == F.col("__run_bin"))
     first = F.greatest(F.floor(F.col(lo) / wide), F.floor(F.col(start) / wide))
     here = (F.col("__level") == F.greatest("__own", "__run_own")) & (F.col("__bin") == first)
-    return w.join(r, met & (F.col(start) < F.col(hi)) & (end > F.col(lo)) & here).drop("__own", "__level", "__bin", "__run_own", "__run_level", "__run_bin")
+    return w.hint("merge").join(r, met & (F.col(start) < F.col(hi)) & (end > F.col(lo)) & here).drop("__own", "__level", "__bin", "__run_own", "__run_level", "__run_bin")

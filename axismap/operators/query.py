@@ -55,10 +55,15 @@ def point_capped(runs: DataFrame, points: DataFrame, cap: int, axis: str = "a",
 
 
 def sweep(runs: DataFrame, windows: DataFrame, step: int, axis: str = "b", width: int | None = None) -> DataFrame:
-    """Runs that cover every ``step``-th position of each window: query_id, pos and a run."""
-    steps = windows.filter("lo < hi").select("query_id", "member", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step))).alias("pos"))
-    spots = steps.select(F.struct("query_id", "pos").alias("query_id"), "member", "pos")
-    return point(runs, spots, axis, width).select("query_id.query_id", "query_id.pos", *RUN_COLUMNS)
+    """Runs that cover every ``step``-th position of each window: query_id, pos and a run.
+
+    Windows meet runs as a whole; only positions that a run covers become rows.
+    """
+    met = _joined(runs, windows, axis, width)
+    skipped = F.ceil((F.greatest(F.col(axis), F.col("__lo")) - F.col("__lo")) / step).cast("bigint")
+    met = met.withColumn("__first", F.col("__lo") + skipped * step).withColumn("__last", F.least(F.col(axis) + F.col("len"), F.col("__hi")) - 1)
+    spots = met.filter("__first <= __last").withColumn("pos", F.explode(F.sequence("__first", "__last", F.lit(step).cast("bigint"))))
+    return spots.select("query_id", "pos", *RUN_COLUMNS)
 
 
 def scan(runs: DataFrame, axis: str, member: int | None = None, others: DataFrame | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
