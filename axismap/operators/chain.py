@@ -11,7 +11,7 @@ target, as far back as the later span's score reaches.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -145,19 +145,45 @@ def pick(chains: list[tuple[int, int, list[tuple[int, int]]]], overlap_frac: flo
     ``overlap_frac`` of itself; ``cap`` over 0 ends after so many.
     """
     kept: set[int] = set()
-    cover: list[tuple[int, int]] = []
+    cover = Cover()
     for number, _, parts in sorted(chains, key=lambda c: (-c[1], c[0])):
         own = union(parts)
-        size = sum(e - s for s, e in own)
-        if shared(own, cover) > overlap_frac * size:
+        if cover.shares(own, overlap_frac * sum(e - s for s, e in own)):
             continue
         kept.add(number)
-        cover = union([*cover, *own])
+        for s, e in own:
+            cover.add(s, e)
         if cap and len(kept) >= cap:
             break
     return kept
 
 
+class Cover:
+    """Disjoint intervals in order, found by bisection; abutting ones merge."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def shares(self, parts: list[tuple[int, int]], most: float) -> bool:
+        """Whether disjoint ``parts`` have more than ``most`` bases in common with the cover."""
+        total = 0
+        for s, e in parts:
+            k = bisect_right(self.ends, s)
+            while k < len(self.starts) and self.starts[k] < e:
+                total += min(e, self.ends[k]) - max(s, self.starts[k])
+                if total > most:
+                    return True
+                k += 1
+        return total > most
+
+    def add(self, s: int, e: int) -> None:
+        i, j = bisect_left(self.ends, s), bisect_right(self.starts, e)
+        if i < j:
+            s, e = min(s, self.starts[i]), max(e, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [s], [e]
+
+
 def union(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted disjoint intervals with the same cover; abutting ones merge."""
     out: list[tuple[int, int]] = []
@@ -169,32 +195,30 @@ def union(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shared(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> int:
-    """Bases that two sorted disjoint covers have in common."""
-    i = j = total = 0
-    while i < len(x) and j < len(y):
-        total += max(0, min(x[i][1], y[j][1]) - max(x[i][0], y[j][0]))
-        if x[i][1] < y[j][1]:
-            i += 1
-        else:
-            j += 1
-    return total
-
-
 def select_chains(chained: DataFrame, overlap_frac: float, cap: int = 0, by: str = "q_member") -> DataFrame:
-    """``chain_id`` and ``keep`` of chains, chosen best-first within each value of ``by``."""
+    """``chain_id`` and ``keep`` of chains, chosen best-first within each value of ``by``.
+
+    Without ``cap`` chains whose extents on the query do not meet, even by way of others, are
+    chosen apart from each other: a task holds one such stretch, not a whole query.
+    """
+    slim = chained.select(F.col(by).cast("bigint").alias("by"), "chain_id", "chain_score", "q_start", "q_end")
+    if cap:
+        slim = slim.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        extents = slim.groupBy("by", "chain_id").agg(F.min("q_start").alias("s"), F.max("q_end").alias("e")).withColumn("bin", F.floor(F.col("s") / BIN))
+        parts = islands(extents, ["by"], "bin", ["s", "e"], F.col("s"), F.col("e"), "part").select("by", "chain_id", "part")
+        slim = slim.join(parts, ["by", "chain_id"])
 
     def fold(rows):
-        for key, group in groupby(rows, key=lambda r: r[0]):
+        for (key, _), group in groupby(rows, key=lambda r: r[:2]):
             chains: dict[int, tuple[int, int, list]] = {}
-            for _, number, score, s, e in group:
+            for _, _, number, score, s, e in group:
                 chains.setdefault(number, (number, score, []))[2].append((s, e))
             kept = pick(list(chains.values()), overlap_frac, cap)
             for number in chains:
                 yield key, number, number in kept
 
-    slim = chained.select(F.col(by).cast("bigint").alias("by"), "chain_id", "chain_score", "q_start", "q_end")
-    return ordered_fold(slim, ["by"], ["chain_id"], ["by", "chain_id", "chain_score", "q_start", "q_end"], fold, "by bigint, chain_id bigint, keep boolean").select("chain_id", "keep")
+    return ordered_fold(slim, ["by", "part"], ["chain_id"], ["by", "part", "chain_id", "chain_score", "q_start", "q_end"], fold, "by bigint, chain_id bigint, keep boolean").select("chain_id", "keep")
 
 
 def best_pieces(pieces: list[tuple[int, int, int, int, int]], params: ChainParams, overlap_frac: float) -> list[bool]:
