@@ -2,16 +2,19 @@
 
 Two texts are linked if their sets of distinct shingles of ``SHINGLE`` words have a
 similarity of ``SIMILAR`` (4/5) or more; one document of each component of links stays.
-Candidates are texts that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes: a
-pair at similarity s is one with probability 1 - (1 - s^8)^50, 0.9999 at 0.8 and more
+Candidates are first the links of ``simhash``: texts of equal fingerprints, and forests of
+the pairs within ``RADIUS`` bits. At 0.8 most pairs differ in more bits, so further ones are
+texts that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes: a
+pair at similarity s is one of these with probability 1 - (1 - s^8)^50, 0.9999 at 0.8 and more
 above, 0.06 where two texts share a passage of three fifths of each. Every link is verified on the whole sets, so only missed candidates can differ
 from comparing all pairs.
 
-Texts with equal sets are one node. Candidates are tried in three passes, of which the
-later ones only take pairs whose components still differ: each node with one hub, each
-with the least node of each of its bands, then all pairs that share a band. So a large
-group of near copies costs pairs in proportion to its size, and nothing is capped; two
-large groups that share a band but have no link cost all pairs between them.
+Texts with equal sets are one node. Candidates are tried in passes, of which the later
+ones only take pairs whose components still differ: those of the fingerprints, each node
+with the least nodes of its bands (one, then seven more, then all of them), then all pairs
+that share a band. So a large group of near copies costs pairs in proportion to its size,
+and nothing is capped; two large groups that share a band but have no link cost all pairs
+between them.
 
 Defined results: words as in ``simhash`` (A-Z lowered, ASCII white space); fewer than
 five words are one shingle; null, empty and blank texts are copies of each other; of a
@@ -24,9 +27,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axismap.llm import simhash
 from axismap.llm.simhash import connect
 from axismap.llm.tables import IDENTITY, kept_for, mark, release, slices, stash, stay
 
@@ -34,6 +38,7 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 BANDS = 50
 ROWS = 8
+HUBS = (1, 8, BANDS)  # how many of a node's hubs have been tried after each pass
 SEED = 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,18 +75,20 @@ def _same(text: str):
 
 
 def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, same, node, n, bands) of every row; ``same`` tells texts of one id apart. No shuffle."""
+    """(key, same, node, n, bands, fp) of every row; ``same`` tells texts of one id apart. No shuffle."""
     slim = docs.select(F.col(f"`{key}`").alias("key"), _same(text).alias("same"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         kept_for("nearcopies")
         for b in slices(batches):
-            found = [shingles(t) for t in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            found = [shingles(t) for t in texts]
+            prints = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             nodes = np.array([node(s) for s in found], np.uint64).view(np.int64)
             sizes = pa.array([len(s) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), sizes, pa.array([bands(s) for s in found], pa.binary())], ["key", "same", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), sizes, pa.array([bands(s) for s in found], pa.binary()), pa.array(prints)], ["key", "same", "node", "n", "bands", "fp"])
 
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, same bigint, node bigint, n int, bands binary")
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, same bigint, node bigint, n int, bands binary, fp bigint")
 
 
 def _banded(unique: DataFrame) -> DataFrame:
@@ -116,6 +123,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(SIMILAR[1] * F.col("shared") >= SIMILAR[0] * (F.col("n") - F.col("shared"))).select("u", "v")
 
 
+def _fingerprinted(unique: DataFrame) -> DataFrame:
+    """Candidates (u, v) by SimHash: nodes of one fingerprint with the least of them, and these along the links of fingerprints."""
+    of = stash(unique.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("c")), "near-prints")
+    links = stash(simhash.links(of.select("fp"), of.count()).distinct(), "near-linked")
+    same = unique.join(of.filter("c > 1"), "fp").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    named = of.select("fp", "least")
+    across = links.join(named.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u").join(named.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v")
+    both = same.union(across.select(F.least("x", "y"), F.greatest("x", "y"))).filter("u != v").distinct()
+    return stash(both, "near-pairs")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose components differ."""
+    named = roots.select(F.col("u").alias("w"), "root")
+    met = pairs.join(named.select(F.col("w").alias("u"), F.col("root").alias("ru")), "u", "left").join(named.select(F.col("w").alias("v"), F.col("root").alias("rv")), "v", "left")
+    return met.filter("coalesce(ru, u) != coalesce(rv, v)").select("u", "v")
+
+
 def _rooted(banded: DataFrame, roots: DataFrame) -> DataFrame:
     return banded.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -127,26 +152,24 @@ def linked(docs: DataFrame, unique: DataFrame, key: str, text: str) -> DataFrame
     shared = every.groupBy("band").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count("*").alias("c")).filter("c > 1").drop("c")
     banded = stash(every.join(shared, "band"), "near-shared")
     release(spark, since, [banded])
-    nodes = banded.select("node").distinct()
+    first = _fingerprinted(unique)
+    release(spark, since, [banded, first])
+    nodes = banded.select("node").union(first.select("u")).union(first.select("v")).distinct()
     sets = stash(_sets(docs, unique.join(nodes, "node", "left_semi").select("node", "best.key", "best.same"), key, text), "near-sets")
     more, less = SIMILAR[1], SIMILAR[0]
 
     def alike(a: str, b: str) -> str:  # sets of too different sizes cannot be similar
         return f"{more}L * least({a}, {b}) >= {less}L * greatest({a}, {b})"
 
-    stars = stash(banded.filter("hub < node and " + alike("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "near-stars")
-    tried = stash(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-pairs")
-    edges = stash(_verified(tried, sets), "near-links")
-    roots = connect(edges)
-
-    named = roots.select(F.col("u").alias("w"), "root")
-    apart = stars.join(tried, ["u", "v"], "left_anti").join(named.select(F.col("w").alias("u"), F.col("root").alias("ru")), "u", "left").join(named.select(F.col("w").alias("v"), F.col("root").alias("rv")), "v", "left")
-    apart = stash(apart.filter("coalesce(ru, u) != coalesce(rv, v)").select("u", "v"), "near-pairs")
-    edges, tried = stash(edges.union(_verified(apart, sets)), "near-links"), tried.union(apart)
-    roots = connect(edges)
-
-    roots = stash(roots, "near-roots")
-    release(spark, since, [banded, sets, edges, roots, stars, apart, tried])
+    hubs = banded.filter("hub < node and " + alike("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    stars = stash(hubs.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("u"))), "near-stars")
+    edges = stash(_verified(first, sets), "near-links")
+    roots, tried = stash(connect(edges), "near-roots"), first
+    for since_, upto in zip((0, *HUBS), HUBS, strict=False):
+        pairs = stash(_apart(stars.filter(f"nth > {since_} and nth <= {upto}"), roots), "near-pairs")
+        edges = stash(edges.union(_verified(pairs, sets)), "near-links")
+        roots, tried = stash(connect(edges), "near-roots"), stash(tried.union(pairs), "near-tried")
+        release(spark, since, [banded, sets, edges, roots, stars, tried])
     members = stash(_rooted(banded.select("band", "node", "n"), roots), "near-members")
     mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
     of_band = stash(members.join(mixed, "band", "left_semi"), "near-mixed")
@@ -165,7 +188,7 @@ def near_copies_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """``docs`` with one document of each component of near copies: that with the least id."""
     marked = stash(marks(docs, key, text), "near-marks")
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "same")).alias("best")
-    unique = stash(marked.groupBy("node").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    unique = stash(marked.groupBy("node").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "near-nodes")
     since = mark(docs.sparkSession)
     roots = stash(linked(docs, unique, key, text), "near-roots")
     release(docs.sparkSession, since, [roots])

@@ -53,3 +53,15 @@ def test_odd_rows(docs, odd_rows):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
     assert [r.text for r in got if r.doc_id is None] == ["none has an id"]
     assert nearcopies.near_copies_dedup(docs([])).count() == 0
+
+
+def test_fingerprints_give_candidates(spark, docs, monkeypatch):
+    """SimHash takes part: what its links tell is found where no band is shared, and is verified."""
+    from axismap.llm import simhash
+
+    text = " ".join(f"word{k}" for k in range(400))
+    rows = [(1, text), (2, text + " end"), (3, "other " + text), (4, "Nothing of all this is said here, and no more is.")]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= simhash.RADIUS for p in prints[1:3])
+    monkeypatch.setattr(nearcopies, "_banded", lambda unique: unique.select("node").withColumn("band", unique["node"]).join(unique.select("node", "n"), "node").select("band", "node", "n"))
+    assert sorted(r.doc_id for r in nearcopies.near_copies_dedup(docs(rows)).collect()) == [1, 4]
