@@ -11,10 +11,15 @@ from comparing all pairs.
 
 Texts with equal sets are one node. Candidates are tried in passes, of which the later
 ones only take pairs whose components still differ: those of the fingerprints, each node
-with the least nodes of its bands (one, then seven more, then all of them), then all pairs
-that share a band. So a large group of near copies costs pairs in proportion to its size,
-and nothing is capped; two large groups that share a band but have no link cost all pairs
-between them.
+with the least nodes of its bands (one, then seven more, then all of them), each node with
+a node of another component drawn in each band, then all pairs that share a band. Before
+the last two passes a node goes that cannot be similar to any of another component: its
+shingles that other components have bound what it can share, and so the size of what it
+can be similar to (``_bounded``). Pairs of the last pass are told apart by parities of their
+shingles (``sketch``) inside the join, which bound the shingles that only one of two sets
+has, before they become rows. All of these bounds are exact and nothing is capped. So a large
+group of near copies costs pairs in proportion to its size; nodes that no bound tells from a
+group without a link to it are still compared by their parities with all of it that shares a band.
 
 Defined results: words as in ``simhash`` (A-Z lowered, ASCII white space); fewer than
 five words are one shingle; null, empty and blank texts are copies of each other; of a
@@ -27,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axismap.llm import simhash
@@ -39,6 +44,8 @@ SIMILAR = (4, 5)
 BANDS = 50
 ROWS = 8
 HUBS = (1, 8, BANDS)  # how many of a node's hubs have been tried after each pass
+WORDS = 8  # 64-bit words of a sketch, a power of two
+SKETCH = [f"w{k}" for k in range(WORDS)]
 SEED = 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,6 +77,17 @@ def bands(of: np.ndarray) -> bytes:
     return b"".join(xxhash.xxh64_digest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS))
 
 
+def sketch(of: np.ndarray) -> np.ndarray:
+    """By 64 * WORDS classes of shingles, whether a set has an odd number of them (WORDS integers).
+
+    Where two sets differ there, one of them has a shingle of the class that the other has not;
+    so their sketches differ in no more bits than the sets in shingles.
+    """
+    classes = 64 * WORDS
+    odd = np.bincount(((of * _FACTORS[0]) >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _same(text: str):
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
@@ -104,16 +122,18 @@ def _banded(unique: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, of): the sets of the wanted nodes (node, key, same), each from one document."""
+    """(node, of, w0 to w7): the sets of the wanted nodes (node, key, same) with their sketches, each from one document."""
     slim = docs.select(F.col(f"`{key}`").alias("key"), _same(text).alias("same"), F.col(f"`{text}`").alias("text"))
     chosen = slim.join(wanted.select(F.col("key").alias("k"), F.col("same").alias("s")), F.col("key").eqNullSafe(F.col("k")) & (F.col("same") == F.col("s")), "left_semi").select("text")
 
     def run(batches):
         for b in slices(batches):
             found = [shingles(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([node(s) for s in found], np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "of"])
+            bits = np.array([sketch(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([node(s) for s in found], np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), *(pa.array(bits[:, k].copy()) for k in range(WORDS))], ["node", *columns])
 
-    return chosen.mapInArrow(run, "node bigint, of array<bigint>").groupBy("node").agg(F.first("of").alias("of"))
+    columns = ["of", *SKETCH]
+    return chosen.mapInArrow(run, "node bigint, of array<bigint>" + "".join(f", {w} bigint" for w in SKETCH)).groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,7 +162,65 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rooted(banded: DataFrame, roots: DataFrame) -> DataFrame:
-    return banded.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """``banded`` with the component of each node, of bands that several components share."""
+    members = stash(banded.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-members")
+    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    return stash(members.join(mixed, "band", "left_semi"), "near-mixed")
+
+
+def _alike(a: str, b: str) -> str:
+    """Sets of too different sizes cannot be similar."""
+    return f"{SIMILAR[1]}L * least({a}, {b}) >= {SIMILAR[0]}L * greatest({a}, {b})"
+
+
+def _two(members: DataFrame, by: Column) -> DataFrame:
+    """(band, one, two): the first node of a band by ``by``, and the first one of another component.
+
+    Written between the steps, so that the joins on a band stay open to the adaptive skew join.
+    """
+    each = members.groupBy("band", "root").agg(F.min(F.struct(by.alias("by"), "node", "n", "reach", "root")).alias("two"))
+    each = stash(each, "near-firsts")
+    first = stash(each.groupBy("band").agg(F.min("two").alias("one")), "near-first")
+    others = stash(each.join(first, "band").filter("one.root != two.root"), "near-others")
+    return stash(others.groupBy("band").agg(F.min("one").alias("one"), F.min("two").alias("two")), "near-two")
+
+
+def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, node, n, root, reach): ``members`` that can be similar to one of another component in their band.
+
+    ``reach`` is the largest set to which a node can be similar that shares no more with it
+    than the shingles that other components of the members have.
+    """
+    less, more = SIMILAR
+    held = members.select("node", "root").distinct().join(sets, "node").select("node", "root", F.explode("of").alias("x"))
+    common = held.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("x")
+    shared = held.join(common, "x").groupBy("node").agg(F.count("*").alias("c"))
+    known = members.select("band", "node", "n", "root").join(shared, "node").withColumn("reach", F.floor((more + less) * F.col("c") / less) - F.col("n")).drop("c")
+    known = stash(known.filter(f"{more}L * reach >= {less}L * n"), "near-known")
+    least = _two(known, F.col("n"))
+    return stash(known.join(least, "band").filter("if(root = one.root, two.n, one.n) <= reach").drop("one", "two"), "near-bounded")
+
+
+def _drawn(members: DataFrame) -> DataFrame:
+    """Candidates (u, v): each node of a band with one node of another component, the same for many."""
+    met = members.join(_two(members, F.xxhash64("band", "node")), "band").withColumn("hub", F.expr("if(root = one.root, two, one)"))
+    fit = met.filter(_alike("n", "hub.n") + " and n <= hub.reach and hub.n <= reach")
+    return fit.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+
+
+def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates (u, v): all pairs of a band in different components that no bound tells apart.
+
+    The largest component of a band stands on one side only, so its nodes do not meet each other.
+    """
+    less, more = SIMILAR
+    largest = members.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most")).select("band", F.col("most.root").alias("top"))
+    every = members.join(stash(largest, "near-largest"), "band").join(sets.select("node", *SKETCH), "node")
+    one, two = every.filter("root != top").alias("x"), every.alias("y")
+    apart = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in SKETCH)
+    fit = f"x.band = y.band and x.root != y.root and (y.root = y.top or x.node < y.node) and x.n <= y.reach and y.n <= x.reach and {_alike('x.n', 'y.n')}"
+    met = one.join(two, F.expr(f"{fit} and {more + less}L * ({apart}) <= {more - less}L * (x.n + y.n)"))
+    return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
 
 def linked(docs: DataFrame, unique: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,30 +234,22 @@ def linked(docs: DataFrame, unique: DataFrame, key: str, text: str) -> DataFrame
     release(spark, since, [banded, first])
     nodes = banded.select("node").union(first.select("u")).union(first.select("v")).distinct()
     sets = stash(_sets(docs, unique.join(nodes, "node", "left_semi").select("node", "best.key", "best.same"), key, text), "near-sets")
-    more, less = SIMILAR[1], SIMILAR[0]
-
-    def alike(a: str, b: str) -> str:  # sets of too different sizes cannot be similar
-        return f"{more}L * least({a}, {b}) >= {less}L * greatest({a}, {b})"
-
-    hubs = banded.filter("hub < node and " + alike("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    hubs = banded.filter("hub < node and " + _alike("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     stars = stash(hubs.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("u"))), "near-stars")
     edges = stash(_verified(first, sets), "near-links")
-    roots, tried = stash(connect(edges), "near-roots"), first
+    roots = stash(connect(edges), "near-roots")
     for since_, upto in zip((0, *HUBS), HUBS, strict=False):
         pairs = stash(_apart(stars.filter(f"nth > {since_} and nth <= {upto}"), roots), "near-pairs")
         edges = stash(edges.union(_verified(pairs, sets)), "near-links")
-        roots, tried = stash(connect(edges), "near-roots"), stash(tried.union(pairs), "near-tried")
-        release(spark, since, [banded, sets, edges, roots, stars, tried])
-    members = stash(_rooted(banded.select("band", "node", "n"), roots), "near-members")
-    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    of_band = stash(members.join(mixed, "band", "left_semi"), "near-mixed")
-    groups = of_band.select("band", "root").distinct()
-    both = groups.withColumnRenamed("root", "r").join(groups.withColumnRenamed("root", "q"), "band").filter("r < q")
-    one = of_band.select("band", F.col("root").alias("r"), F.col("node").alias("x"), F.col("n").alias("xn"))
-    two = of_band.select("band", F.col("root").alias("q"), F.col("node").alias("y"), F.col("n").alias("yn"))
-    rest = both.join(one, ["band", "r"]).join(two, ["band", "q"]).filter(alike("xn", "yn")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    rest = stash(rest.join(tried, ["u", "v"], "left_anti"), "near-pairs")
-    edges = stash(edges.union(_verified(rest, sets)), "near-links")
+        roots = stash(connect(edges), "near-roots")
+        release(spark, since, [banded, sets, edges, roots, stars])
+    members = _bounded(_rooted(banded.select("band", "node", "n"), roots), sets)
+    release(spark, since, [sets, edges, members])
+    edges = stash(edges.union(_verified(stash(_drawn(members), "near-pairs"), sets)), "near-links")
+    roots = stash(connect(edges), "near-roots")
+    members = _bounded(_rooted(members.select("band", "node", "n"), roots), sets)
+    release(spark, since, [sets, edges, members])
+    edges = stash(edges.union(_verified(stash(_rest(members, sets), "near-pairs"), sets)), "near-links")
     release(spark, since, [edges])
     return connect(edges)
 

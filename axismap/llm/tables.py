@@ -7,6 +7,9 @@ a re-read and never a lost block.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -61,11 +64,20 @@ _kept: dict[str, dict] = {}
 
 def kept_for(operator: str) -> dict:
     """What a worker process keeps between tasks of an operator; what it kept for others goes, which bounds its memory."""
-    for other in [k for k in _kept if k != operator]:
-        del _kept[other]
+    if operator not in _kept:
+        _kept.clear()
+        _give_back()
     return _kept.setdefault(operator, {})
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker process outlives its operator."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
