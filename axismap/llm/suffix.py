@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axismap.llm.tables import kept_for, stash
+from axismap.llm.tables import give_back, give_room, kept_for, stash
 
 LENGTH = 100
 GRAM = 32
@@ -122,10 +122,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
 
 def window_hashes(text: np.ndarray) -> np.ndarray:
     """A hash of the LENGTH bytes from each place on."""
-    parts = [np.zeros(0, np.uint64)]
-    for at in range(0, max(0, len(text) - LENGTH + 1), CHUNK):
-        parts.append(_rolled(text[at : at + CHUNK + LENGTH - 1], LENGTH))
-    return np.concatenate(parts)
+    out = np.empty(max(0, len(text) - LENGTH + 1), np.uint64)
+    for at in range(0, len(out), CHUNK):
+        out[at : at + CHUNK] = _rolled(text[at : at + CHUNK + LENGTH - 1], LENGTH)
+    return out
 
 
 def _rolled(part: np.ndarray, length: int) -> np.ndarray:
@@ -199,6 +199,12 @@ def _by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(found.tolist(), np.split(order, first[1:]), strict=True)
 
 
+def _ends(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of each run, by whether a run begins at each place but the first."""
+    edge = np.flatnonzero(new)
+    return np.r_[0, edge + 1], np.r_[edge, len(new)]
+
+
 def _runs(mask: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(start, width) of the runs of set places (of one label)."""
     at = np.flatnonzero(mask)
@@ -257,9 +263,11 @@ class Block:
         self.rank[np.lexsort((np.arange(len(self.doc)), self.tie, self.doc, self.late))] = np.arange(len(self.doc))
 
     def find_anchors(self) -> None:
-        """anchor, lo, hi (first and last window start) and key of each anchor, by place."""
-        anchors, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        grams = [np.zeros(0, np.uint64)]
+        """anchor, lo, hi (first and last window start) and key of each anchor, by place.
+
+        Only the ends of runs stay of each chunk; arrays by window would take many times the block.
+        """
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
         last = len(self.text) - LENGTH
         inside = np.zeros(max(0, last + 1), bool)
         for s, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
@@ -277,14 +285,15 @@ class Block:
                 low = np.minimum(low[: -(span - width)], low[span - width :])
             chosen = (low & _PLACE).astype(np.int64)
             own = np.flatnonzero(inside[at : at + len(chosen)])
-            where.append(own + at)
-            anchors.append(chosen[own] + at)
-            grams.append(h[chosen[own]])
-        start, anchor, gram = np.concatenate(where), np.concatenate(anchors), np.concatenate(grams)
-        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)] if len(start) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.anchor, self.lo, self.key = anchor[first], start[first], gram[first]
-        self.hi = start[np.r_[first[1:] - 1, len(start) - 1]] if len(first) else first
+            if len(own):
+                chosen = chosen[own]
+                first, last_of = _ends((chosen[1:] != chosen[:-1]) | (own[1:] != own[:-1] + 1))
+                found.append((chosen[first] + at, own[first] + at, own[last_of] + at, h[chosen[first]]))
+        anchor, lo, hi, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(lo):  # an anchor may go on in the next chunk
+            first, last_of = _ends((anchor[1:] != anchor[:-1]) | (lo[1:] != hi[:-1] + 1))
+            anchor, lo, hi, key = anchor[first], lo[first], hi[last_of], key[first]
+        self.anchor, self.lo, self.hi, self.key = anchor, lo, hi, key
         self.row = np.searchsorted(self.starts + self.sizes, self.lo, side="right")
 
     def keys_by_task(self, tasks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -317,9 +326,8 @@ class Block:
         wanted = _marked(len(self.text), self.lo[busy], self.hi[busy] - self.lo[busy] + 1)
         row_of = lambda at: np.searchsorted(self.starts + self.sizes, at, side="right")
         gone = repeats(self.text, wanted, lambda at: self.rank[row_of(at)] << 40 | at)
-        anchor = np.repeat(np.arange(len(self.lo)), self.hi - self.lo + 1)  # by window, which stand in order of place
-        of_place = np.full(len(self.text) + 1, -1, np.int64)
-        of_place[_marked(len(self.text) + 1, self.lo, self.hi - self.lo + 1)] = anchor
+        of_place = np.full(len(self.text) + 1, -1, np.int32)  # the anchor by window, which stand in order of place
+        of_place[_marked(len(self.text) + 1, self.lo, self.hi - self.lo + 1)] = np.repeat(np.arange(len(self.lo), dtype=np.int32), self.hi - self.lo + 1)
         stays = wanted & ~gone
         told_of = np.zeros(len(self.text), np.uint8)
         told_of[stays] = state[of_place[:-1][stays]]
@@ -378,6 +386,8 @@ def _contested(blocks: DataFrame, tasks: int) -> DataFrame:
                     [pa.array([number] * len(sent), pa.int64()), pa.array([t for t, _, _ in sent], pa.int64()), pa.array([k.tobytes() for _, k, _ in sent], pa.binary()), pa.array([n.tobytes() for _, _, n in sent], pa.binary())],
                     ["block", "task", "keys", "n"],
                 )
+        block = sent = body = b = None
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
@@ -423,6 +433,8 @@ def _judged(blocks: DataFrame, marks: DataFrame, tasks: int) -> DataFrame:
                     names.append(t)
                     blobs.append(squeeze.compress(len(e).to_bytes(8, "little") + e.tobytes() + bodies))
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["block", "task", "items"])
+        block = body = told = entries = gone = bodies = blobs = b = None
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("task")[0].as_py() < 0:
@@ -453,10 +465,13 @@ def _removed(body: bytes, gone: list[bytes]) -> tuple[Block, np.ndarray]:
 def _cut(docs: DataFrame, emit: Callable[[Block, np.ndarray], pa.RecordBatch], schema: object) -> DataFrame:
     """``docs`` (key, text and more) through all rounds; ``emit`` makes a block's result."""
     spark = docs.sparkSession
+    give_room(spark)
     blocks = stash(pack_blocks(docs), "suffix-blocks")
     size = blocks.agg(F.sum("size")).first()[0] or 0
     tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    give_room(spark)
     marks = stash(_contested(blocks, tasks), "suffix-marks")
+    give_room(spark)
     judged = stash(_judged(blocks, marks, tasks), "suffix-judged")
     said = judged.groupBy("block").agg(F.collect_list("gone").alias("gone"))
 

@@ -66,11 +66,11 @@ def kept_for(operator: str) -> dict:
     """What a worker process keeps between tasks of an operator; what it kept for others goes, which bounds its memory."""
     if operator not in _kept:
         _kept.clear()
-        _give_back()
+        give_back()
     return _kept.setdefault(operator, {})
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where the C library can: a worker process outlives its operator."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -78,6 +78,16 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_room(spark: SparkSession) -> None:
+    """Let the executors' JVMs return what they no longer use, heap and direct buffers, to the system.
+
+    A JVM keeps its heap at what an earlier step needed until it happens to collect all of it;
+    worker processes of the next step need that room beside it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS gone").write.format("noop").mode("overwrite").save()
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:

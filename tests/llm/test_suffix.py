@@ -2,10 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from axismap.llm import suffix
+from axismap.llm.tables import give_room
 
 
 def plain(rows):
@@ -136,3 +140,28 @@ def test_cut_texts_keep_characters_and_columns(docs, odd_rows):
             assert kept <= len((r.text or "").encode()) <= kept + 6 * (1 + by[r.doc_id, len(texts[r.doc_id])].n_spans)
             assert r.key == "clash" and r.lang == "en"
     assert suffix.report(docs([])).count() == 0 and suffix.remove_repeats(docs([])).count() == 0
+
+
+def test_anchors_of_a_block_take_little_memory():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(suffix.BLOCK_BYTES // 3000)]
+    rows, sink = pa.table({"key": list(range(len(texts))), "text": texts}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    block = suffix.Block(zstandard.ZstdCompressor().compress(sink.getvalue()))
+    tracemalloc.start()
+    try:
+        block.find_anchors()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (block.hi - block.lo + 1).sum() == sum(len(t) - suffix.LENGTH + 1 for t in texts)
+    assert peak < 12 * suffix.BLOCK_BYTES
+
+
+def test_executors_are_told_to_return_memory(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    before = whole()
+    give_room(spark)
+    assert whole() > before
